@@ -11,6 +11,7 @@ Null and empty texts count 0. Special tokens' strings in a text count one each,
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -54,7 +55,7 @@ class Counter:
         self.pieces = np.concatenate([self.pieces, np.array([len(x) // 4 for x in self.merger.encode([w.encode("utf-8", "replace") for w in new])], np.int64)])
         lengths = np.array([len(s) for s, _ in split], np.int64)
         of = self.index.__getitem__
-        words = np.fromiter((i for s, _ in split for i in map(of, s)), np.int64, int(lengths.sum()))
+        words = np.fromiter(map(of, itertools.chain.from_iterable(s for s, _ in split)), np.int64, int(lengths.sum()))
         # One row for each text and distinct word, with its frequency; then the join and the sum.
         pair, frequency = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(self.pieces) + words, return_counts=True)
         row, word = np.divmod(pair, max(len(self.pieces), 1))
