@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, packing, quality_rules, token_count, url_filter
+from . import byte_bpe, html_extract, ngram_join, packing, quality_rules, token_count, url_filter
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -39,7 +39,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, size=4096, end=2)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_html_extract, op5_byte_bpe, op6_quality_rules, op7_url_filter, op8_token_counts, op9_packing)
+    f.__name__: f for f in (op2_html_extract, op5_byte_bpe, op6_quality_rules, op7_url_filter, op8_token_counts, op9_packing, op10_ngram_jaccard)
 }
 ORACLE_SQL: dict[str, str] = {}
