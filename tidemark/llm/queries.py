@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, ngram_join, packing, quality_rules, token_count, url_filter
+from . import byte_bpe, html_extract, ngram_join, packing, quality_rules, suffix_dedup, token_count, url_filter
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,6 +19,10 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, "text", "doc_id")
 
@@ -44,6 +48,6 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_html_extract, op5_byte_bpe, op6_quality_rules, op7_url_filter, op8_token_counts, op9_packing, op10_ngram_jaccard)
+    f.__name__: f for f in (op2_html_extract, op4_suffix_dedup, op5_byte_bpe, op6_quality_rules, op7_url_filter, op8_token_counts, op9_packing, op10_ngram_jaccard)
 }
 ORACLE_SQL: dict[str, str] = {}
