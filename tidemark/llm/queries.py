@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, html_extract, ngram_join, packing, quality_rules, suffix_dedup, token_count, url_filter
+from . import byte_bpe, html_extract, ngram_join, packing, quality_rules, suffix_dedup, token_count, toxicity, url_filter
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -15,6 +16,13 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train_on(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model, "doc_id")
+    return scored.select("doc_id", F.coalesce(toxicity.held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -48,6 +56,6 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_html_extract, op4_suffix_dedup, op5_byte_bpe, op6_quality_rules, op7_url_filter, op8_token_counts, op9_packing, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_toxicity, op2_html_extract, op4_suffix_dedup, op5_byte_bpe, op6_quality_rules, op7_url_filter, op8_token_counts, op9_packing, op10_ngram_jaccard)
 }
 ORACLE_SQL: dict[str, str] = {}
