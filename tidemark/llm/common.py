@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 STEP_CHARS = 2_000_000
 #: Entries of a per-process cache of words; a full cache is emptied, which costs time and never changes a result.
 CACHE_ENTRIES = 400_000
-_MASK = 0xFFFFFFFFFFFFFFFF
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -27,6 +25,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers find this package where the driver has it, unless they are told another place.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -63,7 +63,7 @@ def interval_pairs(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
     pending = [(0, len(x), 0, len(y))]
     while pending:
         a, b, c, d = pending.pop()
-        if a == b or c == d or same and c >= b or apart(px[a:b], py[c:d]) > epsilon:
+        if a == b or c == d or apart(px[a:b], py[c:d]) > epsilon:
             continue
         if max(b - a, d - c) <= LEAF:
             i, j = np.nonzero(x[a:b] @ y[c:d].T >= least)
