@@ -73,3 +73,16 @@ def map_texts(
 def stable(*columns: Column, seed: int = 0) -> Column:
     """A 64-bit hash of columns, the same in every run."""
     return F.xxhash64(F.lit(seed), *columns)
+
+
+def filter_texts(df: DataFrame, text: str, function: Callable[[list[str]], object], limit: int = STEP_CHARS) -> DataFrame:
+    """The rows of df for whose text (null: empty) function, given the texts of some rows, says true."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for a, b in slices(texts, limit):
+                yield batch.slice(a, b - a).filter(pa.array(function(texts[a:b]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, map_texts
+from .common import CACHE_ENTRIES, filter_texts, map_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split() that doesn't end a word here.
@@ -162,19 +162,25 @@ def measure(texts: list[str], path: str) -> dict[str, np.ndarray | list[str]]:
     }
 
 
-def judge(df: DataFrame, path: str, *keep: str, text: str = "text", bands: dict[str, Band] = BANDS) -> DataFrame:
-    """Columns keep, the counts, base_failed, kept and the fertility that kept rests on."""
+def verdicts(texts: list[str], path: str, bands: dict[str, Band]) -> dict[str, object]:
+    """The counts of texts, with base_failed and kept."""
+    found = measure(texts, path)
+    n_words, band = found["n_words"], np.array([bands[s] for s in found["script"]]).reshape(-1, 4)
+    failed = (n_words < 50) | (100 * found["n_repeat_words"] > 50 * n_words)
+    chars = found["chars_per_token"]
+    fits = (chars >= band[:, 0]) & (chars <= band[:, 1]) & (found["fallback_share"] <= band[:, 2]) & (found["token_entropy"] >= band[:, 3])
+    return found | {"base_failed": failed, "kept": fits & ~failed}
 
-    def run(texts: list[str]) -> dict[str, object]:
-        found = measure(texts, path)
-        n_words, band = found["n_words"], np.array([bands[s] for s in found["script"]]).reshape(-1, 4)
-        found["base_failed"] = (n_words < 50) | (100 * found["n_repeat_words"] > 50 * n_words)
-        chars = found["chars_per_token"]
-        fits = (chars >= band[:, 0]) & (chars <= band[:, 1]) & (found["fallback_share"] <= band[:, 2]) & (found["token_entropy"] >= band[:, 3])
-        return found | {"kept": fits & ~found["base_failed"]}
 
+def judge(df: DataFrame, path: str, *keep: str, text: str = "text", bands: dict[str, Band] = BANDS) -> DataFrame:
+    """Columns keep, the counts, base_failed, kept and the fertility that kept rests on."""
     schema = (
         "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
         "n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string"
     )
-    return map_texts(df, [F.col(k) for k in keep], F.col(text), schema, run, 1_000_000)
+    return map_texts(df, [F.col(k) for k in keep], F.col(text), schema, lambda texts: verdicts(texts, path, bands), 1_000_000)
+
+
+def without_rejected(df: DataFrame, path: str, text: str = "text", bands: dict[str, Band] = BANDS) -> DataFrame:
+    """The rows of df whose texts are kept."""
+    return filter_texts(df, text, lambda texts: verdicts(texts, path, bands)["kept"], 1_000_000)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, map_texts
+from .common import CACHE_ENTRIES, filter_texts, map_texts
 from .shingles import mix
 
 WINDOW, STRIDE = 32, 16
@@ -422,3 +422,11 @@ def score(df: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFr
         return {"score": found, "predicted": (found >= 0.5).astype(np.int32)}
 
     return map_texts(df, [F.col(k) for k in keep], F.col(text), "score double, predicted int", run, 1_000_000)
+
+
+def without_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of df that score below 0.5."""
+    import pickle
+
+    sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    return filter_texts(df, text, lambda texts: _scorer(sent.value).scores(texts) < 0.5, 1_000_000)
