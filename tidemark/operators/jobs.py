@@ -39,7 +39,7 @@ def queue_report(jobs: DataFrame, status: str = "status", *, by: str) -> DataFra
     """Per owner, how many jobs ended how, and the first of each kind; no job's failure ends the batch."""
     return jobs.groupBy(by).agg(
         F.count_if(F.col(status) == "done").alias("succeeded"), F.count_if(F.col(status) == "failed").alias("failed"), F.count_if(F.col(status) == "processing").alias("open"),
-        F.min(F.when(F.col(status) == "failed", F.col("job_id"))).alias("first_failed"),
+        F.coalesce(F.min(F.when(F.col(status) == "failed", F.col("job_id"))), F.lit(-1)).cast("long").alias("first_failed"),
     )
 
 

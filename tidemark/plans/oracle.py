@@ -112,7 +112,7 @@ ORACLE: dict[str, str] = {
     "pending_outputs": f"WITH {OUTS} SELECT job_id, n FROM u WHERE NOT uploaded",
     "cascade_delete": f"WITH {JOBS}, {OUTS} SELECT job_id, 'job' AS kind FROM j WHERE status <> 'failed' UNION ALL SELECT job_id, 'output' FROM u WHERE job_id NOT IN (SELECT job_id FROM j WHERE status = 'failed')",
     "match_source": f"WITH {JOBS}, p AS (SELECT job_id, owner, CASE WHEN job_id % 4 = 0 THEN size + 1 ELSE size END AS size, updated_at FROM j) SELECT job_id FROM p WHERE EXISTS (SELECT 1 FROM j WHERE j.owner = p.owner AND j.size = p.size AND j.updated_at = p.updated_at)",
-    "queue_report": f"WITH {JOBS} SELECT owner, count(*) FILTER (status = 'done') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'processing') AS open, min(job_id) FILTER (status = 'failed') AS first_failed FROM j GROUP BY owner",
+    "queue_report": f"WITH {JOBS} SELECT owner, count(*) FILTER (status = 'done') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'processing') AS open, coalesce(min(job_id) FILTER (status = 'failed'), -1) AS first_failed FROM j GROUP BY owner",
     "quota_check": f"WITH {OUTS} SELECT job_id, CASE WHEN job_id % 3 = 0 THEN true ELSE n * 30 >= ceil(bytes * 6 / 5) END AS room FROM u",
     "zip_offsets": "SELECT page_id, page_id % 16 AS job, CAST(coalesce(sum(30 + strlen(url) + strlen(html)) OVER (PARTITION BY page_id % 16 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM pages",
     "outputs_union": SEGMENTS + "SELECT track, seg_idx + 1 AS ord, 't' || track || '_' || lpad(CAST(seg_idx AS VARCHAR), 5, '0') || '.m4s' AS name FROM s UNION ALL SELECT track, 0, 't' || track || '_init.mp4' FROM s GROUP BY track UNION ALL SELECT track, max(seg_idx) + 2, 't' || track || '.m3u8' FROM s GROUP BY track",
