@@ -13,6 +13,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: A step gets the state (None at a key's first rows) and some rows of one key; it returns the state and the new column.
 Step = Callable[[Any, dict[str, np.ndarray]], tuple[Any, np.ndarray]]
@@ -47,7 +48,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], ou
                 parts.append(made)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts).astype(np.int64))], names=[*names, output])
 
-    return dealt.mapInArrow(run, df.schema.add(output, "long"))
+    return dealt.mapInArrow(run, StructType([*df.schema.fields, StructField(output, LongType())]))
 
 
 def by_keyframe(target: int, duration: str, sync: str) -> Step:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Boxes that hold boxes.
 CONTAINERS = frozenset("moov trak mdia minf stbl mvex moof traf dinf edts udta".split())
@@ -228,3 +229,36 @@ def zip_entry_offsets(entries: DataFrame, key: str, order: str, name: str, size:
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     each = 30 + F.octet_length(name) + F.col(size)
     return entries.withColumn("__each", each.cast("long")).withColumn("offset", F.coalesce(F.sum("__each").over(before), F.lit(0)).cast("long")).drop("__each")
+
+
+def read_samples(samples: DataFrame, window: int) -> DataFrame:
+    """Samples (path, sample_idx, offset, size) with their data: one read of at most window bytes for each run of neighbours.
+
+    The runs come from a fold over each file's samples; a read past the end of a file fails.
+    """
+    from tidemark.operators.segment import read_islands
+
+    planned = read_islands(samples, "path", "sample_idx", window)
+    names = planned.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(names.index(c)).to_pylist() for c in ("path", "island", "offset", "size")}
+            data: list[bytes] = []
+            at = 0
+            while at < batch.num_rows:
+                stop = at
+                while stop < batch.num_rows and (columns["path"][stop], columns["island"][stop]) == (columns["path"][at], columns["island"][at]):
+                    stop += 1
+                first = columns["offset"][at]
+                last = columns["offset"][stop - 1] + columns["size"][stop - 1]
+                with open(columns["path"][at], "rb") as file:
+                    file.seek(first)
+                    block = file.read(last - first)
+                if len(block) < last - first:
+                    raise EOFError(f"{columns['path'][at]} ends before {last}")
+                data += [block[columns["offset"][k] - first : columns["offset"][k] - first + columns["size"][k]] for k in range(at, stop)]
+                at = stop
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*names, "data"])
+
+    return planned.mapInArrow(run, StructType([*planned.schema.fields, StructField("data", BinaryType())]))
