@@ -35,4 +35,4 @@ def test_matches_sql(spark, sql, data, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(QUERIES) - set(ORACLE) == {"storage_id", "byte_checksums", "byte_sums", "parse_boxes"}
+    assert set(QUERIES) - set(ORACLE) == {"byte_checksums", "parse_boxes"}

@@ -57,7 +57,13 @@ TRACKS = f" || {NEW} || ".join(
 )
 LISTING = f"'#EXTM3U' || {NEW} || '#EXT-X-VERSION:3' || {NEW} || '#EXT-X-TARGETDURATION:62' || {NEW} || '#EXT-X-MEDIA-SEQUENCE:0' || {NEW} || '#EXTINF:61.250,' || {NEW} || stem || '.vtt' || {NEW} || '#EXT-X-ENDLIST' || {NEW}"
 
+FNV = lambda x: f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({x}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+RAW = "('video-' || url)"
+DIGITS = " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((h // {36**k}) % 36 + 1 AS BIGINT), 1)" for k in range(6, -1, -1))
+
 ORACLE: dict[str, str] = {
+    "byte_sums": f"WITH c AS (SELECT page_id, ord(unnest(string_split(url, ''))) AS b, generate_subscripts(string_split(url, ''), 1) AS k, length(url) AS n FROM pages), t AS (SELECT page_id, CAST(sum(b) % 65535 AS BIGINT) AS lo, CAST(sum((n - k + 1) * b) % 65535 AS BIGINT) AS hi FROM c GROUP BY page_id) SELECT page_id, hi * 65536 + lo AS fletcher, {FNV('url')} AS fnv1a FROM pages JOIN t USING (page_id)",
+    "storage_id": f"WITH c AS (SELECT page_id, {FNV(RAW)} AS h, regexp_replace(regexp_replace({RAW}, '[^a-zA-Z0-9._-]', '-', 'g'), '^[^a-zA-Z0-9]+', '') AS x FROM pages) SELECT page_id, CASE WHEN length(x) <= 36 THEN x ELSE {DIGITS} || '-' || right(x, 28) END AS id FROM c",
     "sample_index": f"WITH {V} SELECT track, sample_idx, duration, is_sync, size, CAST(coalesce(sum(duration) OVER (PARTITION BY track ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS decode_time FROM v",
     "track_summary": f"WITH {V}, a AS (SELECT track, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(duration) AS BIGINT) AS ticks, count(*) FILTER (is_sync) AS keyframes FROM v GROUP BY track) SELECT *, CAST(CASE WHEN ticks > 0 THEN coalesce(nullif((n * 2 * {DAY} + ticks) // (2 * ticks), 0), 30) ELSE 30 END AS BIGINT) AS samples_per_day FROM a",
     "gop_collapse": f"WITH {V}, g AS (SELECT *, CAST(sum(CAST(is_sync AS BIGINT)) OVER (PARTITION BY track ORDER BY sample_idx) AS BIGINT) AS gop FROM v) SELECT track, gop, CAST(sum(duration) AS BIGINT) AS ticks, count(*) AS n FROM g GROUP BY ALL",
