@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(texts: list[str], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about limit characters; a longer text is a range of its own."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        if total and total + len(text) > limit:
-            yield start, i
-            start, total = i, 0
-        total += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def slices(column: pa.Array, limit: int = STEP_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of an Arrow column of texts with their texts (null: empty), of about limit bytes; a longer text is a range of its own."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())).to_pylist()
+    start, before = 0, 0
+    for i, end in enumerate(ends):
+        if i > start and end - before > limit:
+            yield start, i, [t or "" for t in column.slice(start, i - start).to_pylist()]
+            start, before = i, ends[i - 1]
+    if start < len(column):
+        yield start, len(column), [t or "" for t in column.slice(start).to_pylist()]
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that nothing refers to any more, which else stay until memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def map_texts(
@@ -61,9 +69,8 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            for a, b in slices(texts, limit):
-                columns = function(texts[a:b])
+            for a, b, texts in slices(batch.column(len(names)), limit):
+                columns = function(texts)
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(columns[f.name], type=f.type) for f in arrow)], names=[*names, *(f.name for f in arrow)])
 
@@ -81,8 +88,7 @@ def filter_texts(df: DataFrame, text: str, function: Callable[[list[str]], objec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in slices(texts, limit):
-                yield batch.slice(a, b - a).filter(pa.array(function(texts[a:b]), pa.bool_()))
+            for a, b, texts in slices(batch.column(at), limit):
+                yield batch.slice(a, b - a).filter(pa.array(function(texts), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

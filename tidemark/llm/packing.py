@@ -69,10 +69,9 @@ def pieces(df: DataFrame, path: str, end: int, size: int, key: str, text: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, _, texts in slices(batch.column(1)):
                 rows, starts, lengths, sums, totals = [], [], [], [], []
-                for k, ids in enumerate(encoder(path).ids(texts[a:b]), a):
+                for k, ids in enumerate(encoder(path).ids(texts), a):
                     ids += mark
                     for at in range(0, len(ids), 4 * size):
                         part = ids[at : at + 4 * size]
