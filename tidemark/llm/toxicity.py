@@ -30,7 +30,7 @@ WORD_BITS, CHAR_BITS = 15, 15
 WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 8, 16, 8, 8
 GRAMS = (3, 4, 5)
 #: Documents of either label that training reads at most.
-SAMPLE = 1200
+SAMPLE = 1000
 #: Windows of a training document that are looked at.
 TRAIN_WINDOWS = 400
 #: Documents that a word or n-gram must be in for training to learn it.
@@ -270,14 +270,19 @@ class Trainer:
         self.squares[k][at] += gradient * gradient
         self.model[k][at] -= rate * gradient / np.sqrt(self.squares[k][at])
 
+    def vectors(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The inputs of words of the vocabulary, their n-grams and the number of these."""
+        m, counts = self.model, self.counts[words]
+        grams = self.grams[np.repeat(self.first[words] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+        sums = np.add.reduceat(m.char[grams], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts)[:, None]
+        return np.concatenate([m.word[self.bucket[words]], sums], axis=1).astype(np.float32), grams, counts
+
     def step(self, ids: np.ndarray, mask: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
         m = self.model
         words, local = np.unique(ids, return_inverse=True)
         local = local.reshape(ids.shape)
-        counts = self.counts[words]
-        grams = self.grams[np.repeat(self.first[words] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+        vectors, grams, counts = self.vectors(words)
         owner = np.repeat(np.arange(len(words)), counts)
-        vectors = np.concatenate([m.word[self.bucket[words]], np.add.reduceat(m.char[grams], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts)[:, None]], axis=1).astype(np.float32)
         gates = (vectors @ m.inputs + m.bias)[local.T]
         on = mask.T
         forward, saved_f = run_direction(gates[:, :, : 3 * HIDDEN], on, m.forward, True)
@@ -328,14 +333,15 @@ class Trainer:
 
     def highest_windows(self) -> list[tuple[int, float]]:
         """First word and logit of the model's highest window of each document."""
-        gates = self.model.vectors(self.data.vocabulary) @ self.model.inputs + self.model.bias
         out = []
         for ids in self.data.ids:
+            words, local = np.unique(ids, return_inverse=True)
+            gates = self.vectors(words)[0] @ self.model.inputs + self.model.bias
             _, first = windows(np.array([len(ids)]))
             first = first[:TRAIN_WINDOWS]
             place = first[:, None] + np.arange(WINDOW)[None, :]
             mask = place < len(ids)
-            logit = window_logits(self.model, gates, ids[np.minimum(place, len(ids) - 1)], None if mask.all() else mask)
+            logit = window_logits(self.model, gates, local[np.minimum(place, len(ids) - 1)], None if mask.all() else mask)
             k = int(logit.argmax())
             out.append((int(first[k]), float(logit[k])))
         return out
@@ -347,8 +353,8 @@ def seeds(trainer: Trainer) -> list[int]:
     total = np.array([max(int((data.label == y).sum()), 1) for y in (0, 1)])
     odds = np.log((seen[1] + 0.3) / (total[1] + 1)) - np.log((seen[0] + 0.3 * total[0] / total[1]) / (total[0] + 1))
     odds *= np.sqrt(np.minimum(seen[1], 20)) * (seen.sum(axis=0) >= LEAST_DOCUMENTS)
-    best = odds[trainer.bucket]
-    np.maximum.at(best, np.repeat(np.arange(len(best)), trainer.counts), odds[(1 << WORD_BITS) + trainer.grams])
+    odds = odds.astype(np.float32)
+    best = np.maximum(odds[trainer.bucket], np.maximum.reduceat(odds[1 << WORD_BITS :][trainer.grams], trainer.first))
     out = []
     for ids in data.ids:
         _, first = windows(np.array([len(ids)]))
