@@ -212,21 +212,14 @@ def text_of(page: Lines, shared: set[int]) -> str:
 
 
 def extract(df: DataFrame, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """Columns key, url, text, n_chars, n_lines and n_shared (lines that the nearest page has too)."""
+    """Columns key, url, text, n_chars, n_lines and n_shared (lines that the nearest page has too).
+
+    Pages are dealt before they are parsed, as Spark reads what it deals by ranges twice, to find the ranges.
+    """
     address = F.coalesce(F.col(url).cast("string"), F.lit(""))
     source = df.select(F.col(key), F.col(url), host_of(address).alias("host"), path_of(address).alias("path"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
     kinds = {c: t for c, t in source.dtypes}
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                parsed = [lines_of(x) for x in part.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(4)), pa.array([x.lines for x in parsed], pa.list_(pa.string())), pa.array([x.kinds for x in parsed], pa.list_(pa.int8()))],
-                    names=[key, url, "host", "path", "lines", "kinds"],
-                )
-
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # up to three pages of one host: the one before, the one in question, the one after
 
@@ -242,13 +235,13 @@ def extract(df: DataFrame, page: str = "html", url: str = "url", key: str = "pag
         types: list[pa.DataType] = []
         for batch in batches:
             types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                for k, address_, host, path, lines, what in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                for k, address_, host, path, page_ in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
                     if held and held[-1][1] != host:
                         done.append(made(len(held) - 1))
                         held.clear()
-                    held.append((k, host, path, Lines(lines, what), address_))
+                    held.append((k, host, path, lines_of(page_), address_))
                     if len(held) > 1:
                         done.append(made(len(held) - 2))
                     del held[:-2]
@@ -259,7 +252,6 @@ def extract(df: DataFrame, page: str = "html", url: str = "url", key: str = "pag
             yield batch_of([made(len(held) - 1)])
 
     first = f"`{key}` {kinds[key]}, `{url}` {kinds[url]}"
-    lines = source.mapInArrow(parse, f"{first}, host string, path string, lines array<string>, kinds array<tinyint>")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lines.repartitionByRange(parts, "host", "path", key).sortWithinPartitions("host", "path", key)
+    dealt = source.repartitionByRange(parts, "host", "path", key).sortWithinPartitions("host", "path", key)
     return dealt.mapInArrow(pair, f"{first}, text string, n_chars long, n_lines long, n_shared long")
