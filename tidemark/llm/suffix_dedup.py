@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import LENGTH, SPAN, prefix_sums, runs
-from .common import checkpoint, slices
+from .common import checkpoint, release, slices
 from .shingles import mix
 from .suffix_array import suffix_array
 
@@ -41,7 +41,7 @@ RANGE = 64
 SENT_KEYS = 300_000
 _U = np.uint64
 _WIDTH = -(-(SPAN + LENGTH) // BLOCK) * BLOCK + BLOCK
-T1, T2 = "__t1", "__t2"
+T1, T2, SPANS = "__t1", "__t2", "__spans"
 
 
 def keyed(df: DataFrame, text: str) -> DataFrame:
@@ -59,10 +59,9 @@ def run_rows(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            strings = batch.column(2).to_pylist()
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b in slices(strings):
-                r = runs([s.encode("utf-8", "replace") for s in strings[a:b]])
+            for a, _, strings in slices(batch.column(2)):
+                r = runs([s.encode("utf-8", "replace") for s in strings])
                 columns = (t1[a + r.text], t2[a + r.text], _pack(r.first, r.last, r.anchor), r.sure.view(np.int64), r.whole.view(np.int64))
                 for at in range(0, len(r.text), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], names=[T1, T2, "place", "sure", "whole"])
@@ -223,12 +222,14 @@ def counted_out(contents: DataFrame) -> DataFrame:
 
 
 def repeated(df: DataFrame, text: str) -> DataFrame:
-    """T1, T2 and spans (low and high starts of repeated strings) of every text that has any; df: with T1 and T2."""
+    """T1, T2 and SPANS (low and high starts of repeated strings) of every text that has any; df: with T1 and T2."""
     texts = df.select(T1, T2, F.col(text).cast("string").alias("text")).filter(F.octet_length("text") >= LENGTH)
     all_runs = run_rows(texts)
     by_sure = all_runs.groupBy("sure").agg(F.count("*").alias("n"), F.min("whole").alias("x"), F.max("whole").alias("y")).filter(F.col("n") > 1)
-    kept = all_runs.join(by_sure.select("sure", (F.col("x") != F.col("y")).alias("mixed")), "sure")
-    kept = checkpoint(kept)
+    # Cut off from its aggregation, so that Spark can split a hash that a large part of all runs has.
+    by_sure = checkpoint(by_sure.select("sure", (F.col("x") != F.col("y")).alias("mixed")))
+    release(df.sparkSession)
+    kept = checkpoint(all_runs.join(by_sure, "sure"))
     distinct = kept.filter("mixed").groupBy("sure", "whole").agg(F.count("*").alias("n"), F.min(F.struct(T1, T2, "place")).alias("at"))
     distinct = checkpoint(distinct)
     sizes = distinct.groupBy("sure").agg(F.count("*").alias("size"), F.min("n").alias("least"))
@@ -243,7 +244,7 @@ def repeated(df: DataFrame, text: str) -> DataFrame:
     marks = whole.select(T1, T2, first.alias("low"), last.alias("high")).union(usual)
     if not many.isEmpty():
         marks = marks.union(counted_out(cut_out(texts, many)))
-    return marks.distinct().groupBy(T1, T2).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return marks.distinct().groupBy(T1, T2).agg(F.collect_list(F.struct("low", "high")).alias(SPANS))
 
 
 def removed(length: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -262,7 +263,7 @@ def _marked(df: DataFrame, text: str) -> DataFrame:
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns key, n_bytes, n_removed, n_spans and kept_sha256 (of the bytes that are left, joined)."""
-    marked = _marked(df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "text").select(key, "text", "spans")
+    marked = _marked(df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "text").select(key, "text", SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +288,7 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the repeated bytes taken out of its texts; characters that lose some of their bytes go."""
     names = df.columns
-    marked = _marked(df, text).select(*names, "spans")
+    marked = _marked(df, text).select(*names, SPANS)
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
