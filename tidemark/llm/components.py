@@ -60,15 +60,18 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("a") != F.col("b")).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """If every node stands above one other at most and none both above and below."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))
+    return odd.isEmpty()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node and component (its smallest member) of every node of links (columns a and b of longs)."""
-    now, before = checkpoint(contract(links).distinct()), None
+    now = checkpoint(contract(links).distinct())
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
-        if state == before or not state[0]:
-            break
-        before = state
+        if _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         now = checkpoint(_star(_star(now, True), False))
-    else:
-        raise RuntimeError("components have not settled")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    raise RuntimeError("components have not settled")

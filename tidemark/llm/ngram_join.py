@@ -11,7 +11,7 @@ numbered within size bands; a class emits the parts of its own band, and of the
 
 Joining parts: for each part that several classes share, its least class (under a few orders of hashing)
 is paired with the others, pairs are verified on the sets, and links are contracted to components. Within parts
-whose classes are still in several components, every pair across components whose 256-bit parity sketches do
+whose classes are still in several components, every pair across components whose parity sketches of single bits do
 not rule it out is verified; large parts are split in blocks for that. So no pair that could join two
 components is left unverified, and no part is paired out as a whole.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_texts, slices
+from .common import checkpoint, map_texts, release, slices
 from .components import components
 from .shingles import mix, set_keys, shingle_sets
 
@@ -36,9 +36,10 @@ from .shingles import mix, set_keys, shingle_sets
 BLOCK = 256
 #: Orders under which the classes of a part have a least one, and so rounds before blocks.
 ORDERS = 2
-#: Ids that are sent to every executor to pick texts; more are joined by a shuffle.
+#: Ids or pairs of them that are sent to every executor to pick rows; more are joined by a shuffle.
 SENT_IDS = 500_000
-SKETCH_WORDS = 4
+#: Shingles of sets that are sent to every executor, likewise.
+SENT_SHINGLES = 2_000_000
 
 
 def difference(size: int, percent: int) -> int:
@@ -85,9 +86,25 @@ def part_keys(own: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity(own: np.ndarray) -> bytes:
-    """A sketch of 256 bits, each the parity of the shingles that hash to it."""
-    bits = np.bincount((mix(own ^ np.uint64(0x9E6C63D0876A9F1B)) >> np.uint64(56)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """A sketch of 256 to 16384 bits, four or more for each shingle, each the parity of the shingles that hash to it.
+
+    A bit is a shingle's hash modulo their number, so the XOR of a sketch's halves is the sketch of half its bits.
+    """
+    bits = min(max(256, 4 << len(own).bit_length()), 16384)
+    place = (mix(own ^ np.uint64(0x9E6C63D0876A9F1B)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all folded to the shortest."""
+    size = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0) for x in sketches])
+
+
+def may_link(apart: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """If sets of n shingles together can link although their sketches differ in so many bits."""
+    # u - i <= (100 - percent) * u / 100 and u <= 100 * n / (100 + percent)
+    return apart.astype(np.int64) * (100 + percent) <= (100 - percent) * n
 
 
 def with_sets(df: DataFrame, keep: list[Column], text: str, width: int) -> DataFrame:
@@ -107,9 +124,8 @@ def part_rows(df: DataFrame, text: str, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                sets = shingle_sets([t.encode("utf-8", "replace") for t in texts[a:b]], width)
+            for _, _, texts in slices(batch.column(0), 1_000_000):
+                sets = shingle_sets([t.encode("utf-8", "replace") for t in texts], width)
                 k1, _ = set_keys(sets)
                 keys = [part_keys(s, percent) for s in sets]
                 lengths = [len(k) for k in keys]
@@ -132,29 +148,50 @@ def set_rows(df: DataFrame, text: str, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("k1").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    """The pairs (a, b) that link; b is the side with fewer different sets."""
+    pairs = checkpoint(pairs)
+    few = pairs.count() <= SENT_IDS
+    sent = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    right = sets.select(F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    left = sets.select(F.col("k1").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")).join(sent(pairs), "a")
+    if (right.agg(F.sum("nb")).first()[0] or 0) <= SENT_SHINGLES:
+        right = F.broadcast(right)
+    near = left.join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return near.withColumn("i", both).filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
 
 
+def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sizes and sketches of their sets don't rule out."""
+    side = lambda k: sets.select(F.col("k1").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            apart = [int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may_link(np.array(apart, np.int64), na + nb, percent)))
+
+    return near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+
+
 def across(pairs_of: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) across components within parts, less those that the sketches rule out.
 
-    pairs_of: part, k1, component, n, sketch, and the number of rows of the part (members).
+    pairs_of: part, k1, component, n, sketch, the class's lower parts, and the number of rows of the part (members).
+    A pair that shares several parts is made in the least of them only.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("k1"), blocks).cast("int")
     # A block meets every block, itself included, once: its rows go to (i, j) for all i <= own and j >= own.
     spread = pairs_of.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("part", "k1", "component", "n", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spread = spread.select("part", "k1", "component", "n", "sketch", "lower", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
         k1, component, n, own = (table.column(c).to_numpy() for c in ("k1", "component", "n", "own"))
         same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        sketch = folded(table.column("sketch").to_pylist())
+        lower = [frozenset(v) for v in table.column("lower").to_pylist()]
         a_out, b_out = [], []
         for x in range(len(k1)):
             ok = (component != component[x]) & (k1 > k1[x])
@@ -163,15 +200,14 @@ def across(pairs_of: DataFrame, percent: int) -> DataFrame:
             y = np.flatnonzero(ok)
             y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
             if len(y):
-                apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
-                # u - i <= (100 - percent) * u / 100 and u <= 100 * (na + nb) / (100 + percent)
-                y = y[apart.astype(np.int64) * (100 + percent) <= (100 - percent) * (n[y] + n[x])]
+                y = y[may_link(np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1), n[y] + n[x], percent)]
+                y = y[[lower[x].isdisjoint(lower[k]) for k in y.tolist()]] if len(y) else y
                 a_out.append(np.full(len(y), k1[x]))
                 b_out.append(k1[y])
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a_out]), "b": np.concatenate([none, *b_out])})
 
-    return spread.groupBy("part", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return spread.groupBy("part", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def link_classes(df: DataFrame, text: str, key: str, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -180,27 +216,37 @@ def link_classes(df: DataFrame, text: str, key: str, classes: DataFrame, width:
     classes: k1 and the least id of each class. df: the table they are from.
     """
     parts = part_rows(df.filter(F.col(key).isNotNull()), text, width, percent)
-    shared = parts.groupBy("part").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter(F.col("low") < F.col("high")).select("part")
+    shared = checkpoint(parts.groupBy("part").count().filter(F.col("count") > 1).select("part"))
+    release(df.sparkSession)
     members = checkpoint(parts.join(shared, "part").distinct())
+    release(df.sparkSession)
+    # Copies of one set have made some parts look shared.
+    members = checkpoint(members.join(members.groupBy("part").count().filter(F.col("count") > 1).select("part"), "part"))
     wanted = members.select("k1").distinct().join(classes, "k1").select(F.col("id").alias(key))
     wanted = checkpoint(wanted.distinct())
     few = wanted.count() <= SENT_IDS
     texts = df.select(key, text).join(F.broadcast(wanted) if few else wanted, key, "left_semi")
-    sets = checkpoint(set_rows(texts, text, width).dropDuplicates(["k1"]))
+    sets = checkpoint(set_rows(texts, text, width))
+    if sets.count() > wanted.count():  # ids that rows share
+        sets = checkpoint(sets.dropDuplicates(["k1"]))
+    release(df.sparkSession)
 
     active = members.withColumn("component", F.col("k1"))
     links = None
     for order in range(ORDERS):
         hubs = active.groupBy("part").agg(F.min_by(F.struct("k1", "component"), F.xxhash64(F.lit(order), "component", "k1")).alias("hub"))
         pairs = active.join(hubs, "part").filter(F.col("component") != F.col("hub.component"))
-        pairs = pairs.select(F.least("k1", "hub.k1").alias("a"), F.greatest("k1", "hub.k1").alias("b")).distinct()
-        new = verified(pairs, sets, percent)
+        pairs = pairs.select(F.col("k1").alias("a"), F.col("hub.k1").alias("b")).distinct()
+        new = verified(screened(pairs, sets, percent), sets, percent)
         found = checkpoint(components(new if links is None else links.union(new)))
         links = found.filter(F.col("node") != F.col("component")).toDF("a", "b")
         active = still_open(members, found.toDF("k1", "component"))
+        release(df.sparkSession)
     # The one pair of a part of two classes has been verified.
     large = active.groupBy("part").agg(F.count("*").alias("members")).filter(F.col("members") > 2)
-    left = active.join(large, "part").join(sets.select("k1", "n", "sketch"), "k1")
+    active = checkpoint(active.join(large, "part"))
+    lists = active.groupBy("k1").agg(F.collect_list("part").alias("parts"))  # a class has as many as its sketch
+    left = active.join(sets.select("k1", "n", "sketch"), "k1").join(lists, "k1").withColumn("lower", F.expr("filter(parts, x -> x < part)")).drop("parts")
     return components(links.union(verified(across(left, percent), sets, percent))).toDF("k1", "component")
 
 
