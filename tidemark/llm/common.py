@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Characters of text that one vectorised step works on; it bounds a worker's memory whatever the batch is.
 STEP_CHARS = 2_000_000
 #: Entries of a per-process cache of words; a full cache is emptied, which costs time and never changes a result.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
