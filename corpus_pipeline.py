@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import ngram_join, packing, quality_rules, suffix_dedup, toxicity
 from tidemark.llm.common import checkpoint, table
-from tidemark.llm.queries import PIECES, WORD_BPE
+from tidemark.llm.queries import BYTE_RANKS, PIECES, WORD_BPE
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the fertility bands."""
-    return quality_rules.without_rejected(docs, PIECES)
+    """Documents that pass the base rules, the fertility bands and the floors of their language."""
+    return quality_rules.without_rejected(docs, PIECES, second=BYTE_RANKS, language="lang")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

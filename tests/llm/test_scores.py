@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tidemark.llm import quality_rules, toxicity
-from tidemark.llm.queries import PIECES, op1_toxicity
+from tidemark.llm.queries import BYTE_RANKS, PIECES, op1_toxicity
 
 
 
@@ -125,6 +125,21 @@ def test_bands_by_script():
     assert not quality_rules.verdicts([english], PIECES, tight)["kept"][0]
 
 
+def test_floors_reject_junk_of_a_language(spark):
+    rng = random.Random(4)
+    common = ["time", "people", "house", "water", "school", "garden", "music", "winter", "market", "letter", "road", "city", "story", "friend", "morning", "window", "river", "teacher", "question", "country"]
+    plain = lambda: " ".join(rng.choice(common) + rng.choice(["", "", "s", ","]) for _ in range(100))
+    junk = lambda: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) + " |" for _ in range(100))
+    rows = [(k, plain() if k % 10 else junk(), "en") for k in range(100)] + [(k, junk(), "xx") for k in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in quality_rules.judge(docs, PIECES, "doc_id", second=BYTE_RANKS, language="lang").collect()}
+    assert len(found) == 110 and not any(r["base_failed"] for r in found.values())
+    assert not any(found[k]["kept"] for k in range(0, 100, 10)) and sum(found[k]["kept"] for k in range(100) if k % 10) >= 88
+    assert all(found[k]["kept"] for k in range(100, 110))  # too few texts for floors: the bands alone
+    left = quality_rules.without_rejected(docs, PIECES, second=BYTE_RANKS, language="lang")
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(k for k, r in found.items() if r["kept"])
+
+
 def test_judge_takes_odd_rows(odd, nothing):
     found = quality_rules.judge(odd, PIECES, "doc_id").collect()
     assert len(found) == 10 and not any(r["kept"] for r in found) and quality_rules.judge(nothing, PIECES, "doc_id").count() == 0

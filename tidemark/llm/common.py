@@ -92,3 +92,21 @@ def filter_texts(df: DataFrame, text: str, function: Callable[[list[str]], objec
                 yield batch.slice(a, b - a).filter(pa.array(function(texts), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def append_texts(df: DataFrame, text: str, schema: str, function: Callable[[list[str]], dict[str, object]], limit: int = STEP_CHARS) -> DataFrame:
+    """The rows of df followed by the columns of schema that function, given the texts of some rows (null: empty), makes of them."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    at, names = df.columns.index(text), df.columns
+    made = df.sparkSession.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in slices(batch.column(at), limit):
+                columns = function(texts)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array(columns[f.name], type=f.type) for f in arrow)], names=[*names, *(f.name for f in arrow)])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *made.fields]))

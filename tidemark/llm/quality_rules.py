@@ -2,15 +2,19 @@
 
 Fertility is measured on a text's words (maximal runs of characters other than space and \\t to \\r): characters
 per token, the share of tokens that are byte fallbacks, and the entropy of the text's tokens, under the
-vocabulary of `path`. A text of words is rejected outside the band of its script; bands are parameters, wide
-enough for prose of any language in the script, and the same at every size. The pieces of each distinct
-word are found once per process (bounded cache). The plan is one scan and one Arrow map.
+vocabulary of `path`; characters per token also under the byte-level vocabulary of `second`. A text is rejected
+outside the band of its script (parameters, wide enough for prose of any language in the script), and below the
+floors of its language: floors come from the quartiles of all texts of the same script, language and length that
+pass the base rules and the bands, no labels needed. The pieces of each distinct word are found once per process
+(bounded cache). The plan is one scan and one Arrow map, whose rows are checkpointed, as the floors rest on all
+of them; then an aggregation of a few numbers a row and a join to the floors.
 
 A null or empty text has no words: all counts are 0, base_failed is true, kept false.
 """
 
 from __future__ import annotations
 
+import base64
 import functools
 import itertools
 import re
@@ -20,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, filter_texts, map_texts
+from .common import CACHE_ENTRIES, append_texts, checkpoint, map_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split() that doesn't end a word here.
@@ -53,6 +57,20 @@ BANDS = {
 }
 
 
+#: Measures with floors, and the decimals that their quartiles are taken over, so that counts of values stay small.
+FLOORS = {"chars_per_token": 3, "byte_chars_per_token": 3, "token_entropy": 3}
+#: A floor is the median less so many times the spread of the upper half, which texts below hardly move.
+WIDTH = 4.0
+#: The distance of the upper quartile from the median in standard deviations of a normal distribution.
+QUARTILE = 0.6745
+#: Least spread as a share of the median: copies of one text don't make a floor of its value.
+LEAST_SPREAD = 0.01
+#: Texts that a group needs for floors of its own; smaller ones take those of their language, then the bands alone.
+LEAST_TEXTS = 30
+#: Rows of floors that are broadcast; more are joined by a shuffle.
+SENT_FLOORS = 100_000
+
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
@@ -71,18 +89,20 @@ def script_of(text: str) -> str:
 
 
 class Pieces:
-    """Words to pieces of a sentencepiece vocabulary: a count, the byte fallbacks among them, and ids."""
+    """Words to pieces of a sentencepiece vocabulary: a count, the byte fallbacks among them, and ids; and a count of byte-level tokens."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, second: str | None = None) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.byte_level = byte_level(second) if second else None
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.counts, self.bytes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.byte_counts = np.zeros(0, np.int64)
 
     def add(self, split: list[list[str]]) -> None:
         new = list(set().union(*split).difference(self.index))
@@ -96,11 +116,22 @@ class Pieces:
         row = np.repeat(np.arange(len(new)), counts)
         self.bytes = np.concatenate([self.bytes, np.bincount(row, self.fallback[ids], len(new)).astype(np.int64)])
         self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+        if self.byte_level:
+            self.byte_counts = np.concatenate([self.byte_counts, np.fromiter((len(self.byte_level.encode_ordinary(w)) for w in new), np.int64, len(new))])
+
+
+def byte_level(path: str):  # noqa: ANN201
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @functools.lru_cache(2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pieces(path: str, second: str | None = None) -> Pieces:
+    return Pieces(path, second)
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +156,9 @@ def repeated_words(words: np.ndarray, text: np.ndarray, texts: int) -> np.ndarra
     return np.bincount(text, marked, texts).astype(np.int64)
 
 
-def measure(texts: list[str], path: str) -> dict[str, np.ndarray | list[str]]:
+def measure(texts: list[str], path: str, second: str | None = None) -> dict[str, np.ndarray | list[str]]:
     """All counts of the texts."""
-    own, split = pieces(path), [words_of(t) for t in texts]
+    own, split = pieces(path, second), [words_of(t) for t in texts]
     own.add(split)
     n_words = np.array([len(s) for s in split], np.int64)
     of = own.index.__getitem__
@@ -159,12 +190,13 @@ def measure(texts: list[str], path: str) -> dict[str, np.ndarray | list[str]]:
         "fallback_share": np.bincount(text, own.bytes[words], len(texts)) / total,
         "token_entropy": np.maximum(np.log2(total) - spread / total, 0.0),
         "script": [script_of(t) for t in texts],
+        "byte_chars_per_token": word_chars / np.maximum(np.bincount(text, own.byte_counts[words], len(texts)), 1) if second else np.full(len(texts), np.nan),
     }
 
 
-def verdicts(texts: list[str], path: str, bands: dict[str, Band]) -> dict[str, object]:
-    """The counts of texts, with base_failed and kept."""
-    found = measure(texts, path)
+def verdicts(texts: list[str], path: str, bands: dict[str, Band], second: str | None = None) -> dict[str, object]:
+    """The counts of texts, with base_failed, and kept by the base rules and the bands."""
+    found = measure(texts, path, second)
     n_words, band = found["n_words"], np.array([bands[s] for s in found["script"]]).reshape(-1, 4)
     failed = (n_words < 50) | (100 * found["n_repeat_words"] > 50 * n_words)
     chars = found["chars_per_token"]
@@ -172,15 +204,44 @@ def verdicts(texts: list[str], path: str, bands: dict[str, Band]) -> dict[str, o
     return found | {"base_failed": failed, "kept": fits & ~failed}
 
 
-def judge(df: DataFrame, path: str, *keep: str, text: str = "text", bands: dict[str, Band] = BANDS) -> DataFrame:
-    """Columns keep, the counts, base_failed, kept and the fertility that kept rests on."""
-    schema = (
-        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-        "n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string"
-    )
-    return map_texts(df, [F.col(k) for k in keep], F.col(text), schema, lambda texts: verdicts(texts, path, bands), 1_000_000)
+SCHEMA = (
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
+    "n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, byte_chars_per_token double"
+)
+
 
+def above_floors(measured: DataFrame, language: str, mark: str = "") -> DataFrame:
+    """measured, of which kept is true only of texts at or above the floors of their group; mark precedes the names of its measures."""
+    spoken = F.coalesce(F.col(language).cast("string"), F.lit(""))
+    rows = measured.withColumns({"__language": spoken, "__length": F.floor(F.log2(F.greatest(F.col(f"{mark}n_words"), F.lit(1)))).cast("int")})
+    least = lambda c, q: q[0] - WIDTH * F.greatest((q[1] - q[0]) / QUARTILE, LEAST_SPREAD * q[0])
+    quartiles = {c: F.percentile(F.round(f"{mark}{c}", places), F.array(F.lit(0.5), F.lit(0.75))) for c, places in FLOORS.items()}
+    groups = rows.filter(f"{mark}kept").select(F.col(f"{mark}script").alias("__s"), F.col("__language").alias("__l"), F.explode(F.array("__length", F.lit(-1))).alias("__n"), *(f"{mark}{c}" for c in FLOORS))
+    found = groups.groupBy("__s", "__l", "__n").agg(F.count("*").alias("texts"), *(q.alias(f"__{c}") for c, q in quartiles.items())).filter(F.col("texts") >= LEAST_TEXTS)
+    floors = checkpoint(found.select("__s", "__l", "__n", F.struct(*(least(c, F.col(f"__{c}")).alias(c) for c in FLOORS)).alias("__floor")))
+    sent = F.broadcast if floors.count() <= SENT_FLOORS else lambda df: df
+    for name, length in (("__own", F.col("__length")), ("__wide", F.lit(-1))):
+        side = floors.select(F.col("__s").alias(f"{name}_s"), F.col("__l").alias(f"{name}_l"), F.col("__n").alias(f"{name}_n"), F.col("__floor").alias(name))
+        rows = rows.join(sent(side), (F.col(f"{mark}script") == F.col(f"{name}_s")) & (F.col("__language") == F.col(f"{name}_l")) & (length == F.col(f"{name}_n")), "left")
+    floor = F.coalesce("__own", "__wide")
+    above = functools.reduce(lambda a, b: a & b, (F.coalesce(F.round(f"{mark}{c}", places) >= floor[c], F.lit(True)) for c, places in FLOORS.items()))
+    return rows.withColumn(f"{mark}kept", F.col(f"{mark}kept") & above).select(measured.columns)
 
-def without_rejected(df: DataFrame, path: str, text: str = "text", bands: dict[str, Band] = BANDS) -> DataFrame:
+
+def judge(df: DataFrame, path: str, *keep: str, text: str = "text", bands: dict[str, Band] = BANDS, second: str | None = None, language: str | None = None) -> DataFrame:
+    """Columns keep, the counts, base_failed, kept and the fertility that kept rests on; without a column language, a script is one."""
+    spoken = F.col(language) if language else F.lit(None)
+    found = map_texts(df, [*(F.col(k) for k in keep), spoken.cast("string").alias("__spoken")], F.col(text), SCHEMA, lambda texts: verdicts(texts, path, bands, second), 1_000_000)
+    return above_floors(checkpoint(found), "__spoken").drop("__spoken")
+
+
+def without_rejected(df: DataFrame, path: str, text: str = "text", bands: dict[str, Band] = BANDS, second: str | None = None, language: str | None = None) -> DataFrame:
     """The rows of df whose texts are kept."""
-    return filter_texts(df, text, lambda texts: verdicts(texts, path, bands)["kept"], 1_000_000)
+    schema = "__n_words long, __kept boolean, __script string, " + ", ".join(f"__{c} double" for c in FLOORS)
+
+    def columns(texts: list[str]) -> dict[str, object]:
+        return {f"__{k}": v for k, v in verdicts(texts, path, bands, second).items()}
+
+    spoken = df.withColumn("__spoken", F.col(language).cast("string") if language else F.lit(None).cast("string"))
+    found = checkpoint(append_texts(spoken, text, schema, columns, 1_000_000).filter("__kept"))
+    return above_floors(found, "__spoken", "__").filter("__kept").select(df.columns)

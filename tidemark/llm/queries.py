@@ -40,7 +40,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), PIECES, "doc_id")
+    return quality_rules.judge(table(spark, sf_dir, "documents"), PIECES, "doc_id", second=BYTE_RANKS, language="lang")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
