@@ -70,6 +70,23 @@ def test_a_score_is_that_of_the_highest_window(labelled):
     assert first[-1] == len(words) - toxicity.WINDOW and (np.diff(first) <= toxicity.STRIDE).all()
 
 
+def test_no_part_of_a_long_run_is_left_out(labelled):
+    own = toxicity.Scorer(toxicity.train([t for t, _ in labelled[:180]], [y for _, y in labelled[:180]]))
+    clean = next(t for t, y in labelled if not y and len(t.split()) >= 60).split()[:60]
+    for joint in (",", "/", "_"):
+        mild, bad = own.scores([joint.join(clean), joint.join([*clean[:40], "grolk", "vrazz", *clean[40:]])])
+        assert mild < 0.5 <= bad
+    chinese, thai, unbroken = "".join(map(chr, range(0x4E00, 0x4E00 + 300))), "".join(chr(0x0E01 + k % 46) for k in range(300)), "".join(chr(97 + k * k % 26) for k in range(300))
+    assert toxicity.words_of(chinese) == list(chinese) and toxicity.words_of(thai) == list(thai)
+    for text in (chinese, thai, unbroken, "a" * 64, "a" * 65, "a" * 97, ",".join(clean), "-" * 200 + unbroken):
+        words = toxicity.words_of(text)
+        assert max(map(len, words)) <= toxicity.LONGEST
+        assert all(any(text[k : k + 20] in w for w in words) for k in range(len(text) - 19)) if text in (unbroken, "a" * 97) else set(text) == set("".join(words))
+    assert toxicity.words_of("One two-three 🙂 x_y") == "one two-three 🙂 x_y".split()
+    a, b = own.model.vectors(["x" * 64 + "grolk"]), own.model.vectors(["x" * 64 + "plain"])
+    assert not np.array_equal(a, b)
+
+
 def test_odd_texts_have_scores(odd, nothing):
     found = toxicity.score(odd, toxicity.fresh(), "doc_id").collect()
     assert len(found) == 10 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -37,12 +38,31 @@ TRAIN_WINDOWS = 400
 LEAST_DOCUMENTS = 4
 #: What may stand around a word without being part of it.
 _AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…–—"
+#: Characters of a word at most.
+LONGEST = 64
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and Chinese characters.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_JOINED = re.compile(r"[^\W_]+[\W_]*|[\W_]+")
 _U = np.uint64
 _IN = WORD_SIZE + CHAR_SIZE
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """Words of LONGEST characters at most that leave out nothing but white space.
+
+    Characters of scripts without spaces are words each. Longer runs are split where words are joined by
+    other characters, and what is longer still into pieces that overlap by half.
+    """
+    lower = text.lower()
+    words = (lower if lower.isascii() else _UNSPACED.sub(r" \g<0> ", lower)).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [p for w in words for p in ((w,) if len(w) <= LONGEST else itertools.chain.from_iterable(map(pieces_of, _JOINED.findall(w))))]
+
+
+def pieces_of(run: str) -> list[str]:
+    half = LONGEST // 2
+    return [run[a : a + LONGEST] for a in range(0, max(len(run) - half, 1), half)]
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +72,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = [b"\x02" + (w.strip(_AROUND) or w)[:64].encode("utf-8", "replace") + b"\x03" for w in words]
+    data = [b"\x02" + (w.strip(_AROUND) or w).encode("utf-8", "replace") + b"\x03" for w in words]
     lengths = np.array([len(d) for d in data], np.int64)
     codes = np.frombuffer(b"".join(data), np.uint8).astype(_U)
     row = np.repeat(np.arange(len(words)), lengths)
