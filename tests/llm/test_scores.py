@@ -87,6 +87,20 @@ def test_no_part_of_a_long_run_is_left_out(labelled):
     assert not np.array_equal(a, b)
 
 
+def test_training_looks_at_all_windows():
+    rng = random.Random(3)
+    texts, at = [], toxicity.TRAIN_WINDOWS * toxicity.STRIDE + 400
+    for k in range(12):
+        words = prose(rng, at + 200, False).split()
+        words[at : at + 3] = ["grolk", "vrazz", "grolkish"] if k % 2 else words[at : at + 3]
+        texts.append(" ".join(words))
+    trainer = toxicity.Trainer(toxicity.examples(texts, [k % 2 for k in range(12)]))
+    begin = toxicity.seeds(trainer)
+    assert all(at - toxicity.WINDOW < begin[k] <= at + 2 for k in range(1, 12, 2))
+    trainer.fit([(k, begin[k], k % 2) for k in range(12)], 30)
+    assert all(at - toxicity.WINDOW < trainer.highest_windows()[k][0] <= at + 2 for k in range(1, 12, 2))
+
+
 def test_odd_texts_have_scores(odd, nothing):
     found = toxicity.score(odd, toxicity.fresh(), "doc_id").collect()
     assert len(found) == 10 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)

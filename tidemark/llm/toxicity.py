@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +33,7 @@ WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 8, 16, 8, 8
 GRAMS = (3, 4, 5)
 #: Documents of either label that training reads at most.
 SAMPLE = 1000
-#: Windows of a training document that are looked at.
+#: Windows of a training document that are looked at in one step.
 TRAIN_WINDOWS = 400
 #: Documents that a word or n-gram must be in for training to learn it.
 LEAST_DOCUMENTS = 4
@@ -357,16 +358,31 @@ class Trainer:
         for ids in self.data.ids:
             words, local = np.unique(ids, return_inverse=True)
             gates = self.vectors(words)[0] @ self.model.inputs + self.model.bias
-            _, first = windows(np.array([len(ids)]))
-            first = first[:TRAIN_WINDOWS]
-            place = first[:, None] + np.arange(WINDOW)[None, :]
-            mask = place < len(ids)
-            logit = window_logits(self.model, gates, local[np.minimum(place, len(ids) - 1)], None if mask.all() else mask)
-            k = int(logit.argmax())
-            out.append((int(first[k]), float(logit[k])))
+
+            def logits(place: np.ndarray) -> np.ndarray:
+                mask = place < len(ids)
+                return window_logits(self.model, gates, local[np.minimum(place, len(ids) - 1)], None if mask.all() else mask)
+
+            out.append(best_window(len(ids), logits))
         return out
 
 
+def best_window(words: int, value: Callable[[np.ndarray], np.ndarray]) -> tuple[int, float]:
+    """First word and value of the first window of the highest value, of all windows of a text of so many words.
+
+    value gets the places of the words of TRAIN_WINDOWS windows at most, which may be beyond the end of a short text.
+    """
+    _, first = windows(np.array([words]))
+    found = (0, -np.inf)
+    for a in range(0, len(first), TRAIN_WINDOWS):
+        some = first[a : a + TRAIN_WINDOWS]
+        got = value(some[:, None] + np.arange(WINDOW)[None, :])
+        k = int(got.argmax())
+        if got[k] > found[1]:
+            found = (int(some[k]), float(got[k]))
+    return found
+
+
 def seeds(trainer: Trainer) -> list[int]:
     """First word of the window of each document with the features most frequent in documents of label 1."""
     data, seen = trainer.data, trainer.seen
@@ -375,14 +391,7 @@ def seeds(trainer: Trainer) -> list[int]:
     odds *= np.sqrt(np.minimum(seen[1], 20)) * (seen.sum(axis=0) >= LEAST_DOCUMENTS)
     odds = odds.astype(np.float32)
     best = np.maximum(odds[trainer.bucket], np.maximum.reduceat(odds[1 << WORD_BITS :][trainer.grams], trainer.first))
-    out = []
-    for ids in data.ids:
-        _, first = windows(np.array([len(ids)]))
-        first = first[:TRAIN_WINDOWS]
-        place = np.minimum(first[:, None] + np.arange(WINDOW)[None, :], len(ids) - 1)
-        value = np.sort(best[ids[place]], axis=1)[:, -3:].sum(axis=1)
-        out.append(int(first[int(value.argmax())]))
-    return out
+    return [best_window(len(ids), lambda place, ids=ids: np.sort(best[ids[np.minimum(place, len(ids) - 1)]], axis=1)[:, -3:].sum(axis=1))[0] for ids in data.ids]
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
