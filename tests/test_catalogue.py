@@ -36,3 +36,13 @@ def test_matches_sql(spark, sql, data, name):
 
 def test_every_query_has_sql_or_a_test():
     assert set(QUERIES) - set(ORACLE) == {"byte_checksums", "parse_boxes"}
+
+
+def test_all_samples_are_packed_and_parsed(spark, sql, data):
+    found = QUERIES["parse_boxes"](spark, data).toPandas()
+    want = sql.execute("""WITH v AS (SELECT user_id AS track, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 64 AS fragment, CAST(round(value * 100) AS BIGINT) AS size FROM events)
+        SELECT track, fragment, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM v GROUP BY ALL""").df().sort_values(["track", "fragment"])
+    for path, size in (("mdat", 8 + want["bytes"]), ("moof/traf/trun", 20 + 16 * want["n"])):
+        got = found[found["path"] == path].sort_values(["track", "fragment"])
+        assert got[["track", "fragment"]].values.tolist() == want[["track", "fragment"]].values.tolist() and got["size"].tolist() == size.tolist()
+    assert want["n"].sum() == sql.execute("SELECT count(*) FROM events").fetchone()[0]

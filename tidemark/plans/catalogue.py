@@ -469,17 +469,25 @@ def outputs_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.unionByName(ends)
 
 
+#: Samples of a fragment at most.
+FRAGMENT = 64
+
+
 @query
 def parse_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of fragments packed from each track's first samples, read back as samples."""
-    first = views.samples(spark, sf_dir).filter(F.col("sample_idx") < 20).select("track", "sample_idx", "duration", "is_sync", "size")
+    """Boxes of fragments packed from all samples of each track, with payloads of their sizes, read back."""
+    columns = ("track", "sample_idx", "us", "duration", "is_sync", "size")
+    all_samples = views.samples(spark, sf_dir).select(F.struct("track", F.floor(F.col("sample_idx") / FRAGMENT).cast("long").alias("fragment")).alias("file"), *columns)
 
     def pack(frame):  # noqa: ANN001, ANN202
         import pandas as pd
 
         frame = frame.sort_values("sample_idx")
-        rows = [(int(d) & 0xFFFFFFFF, bool(s), 0, bytes(int(n) % 64)) for d, s, n in frame[["duration", "is_sync", "size"]].itertuples(index=False)]
-        return pd.DataFrame({"track": [int(frame["track"].iloc[0])], "content": [boxes.media_segment(1, 1, 0, rows)]})
-
-    packed = first.groupBy("track").applyInPandas(pack, "track long, content binary")
-    return boxes.parse_boxes(packed, "track")
+        track, first = int(frame["track"].iloc[0]), int(frame["sample_idx"].iloc[0]) // FRAGMENT
+        rows = [(int(d) & 0xFFFFFFFF, bool(s), 0, bytes(max(int(n), 0))) for d, s, n in frame[["duration", "is_sync", "size"]].itertuples(index=False)]
+        content = boxes.media_segment(first + 1 & 0xFFFFFFFF, 1, int(frame["us"].iloc[0]) & 0xFFFFFFFFFFFFFFFF, rows)
+        return pd.DataFrame({"file": [{"track": track, "fragment": first}], "content": [content]})
+
+    # Fragments of a long track are spread over tasks.
+    packed = all_samples.repartition("file").groupBy("file").applyInPandas(pack, "file struct<track: long, fragment: long>, content binary")
+    return boxes.parse_boxes(packed, "file").select("file.*", "path", "depth", "offset", "size")
