@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import duckdb
 import pytest
 
@@ -46,3 +48,13 @@ def test_all_samples_are_packed_and_parsed(spark, sql, data):
         got = found[found["path"] == path].sort_values(["track", "fragment"])
         assert got[["track", "fragment"]].values.tolist() == want[["track", "fragment"]].values.tolist() and got["size"].tolist() == size.tolist()
     assert want["n"].sum() == sql.execute("SELECT count(*) FROM events").fetchone()[0]
+
+
+def test_byte_checksums_cover_whole_texts(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    found = QUERIES["byte_checksums"](spark, data).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        raw = texts[r["doc_id"]].encode()
+        lo, hi = sum(raw) % 65535, sum((len(raw) - k) * b for k, b in enumerate(raw)) % 65535
+        assert r["crc32"] == zlib.crc32(raw) and r["fletcher"] == hi << 16 | lo

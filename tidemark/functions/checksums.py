@@ -39,3 +39,22 @@ def fletcher(data: Column) -> Column:
 
     total = F.aggregate(places, state, add)
     return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.shiftleft(total["hi"], 16).bitwiseOR(total["lo"]))
+
+
+def fletcher_of_long(data: Column) -> Column:
+    """fletcher of byte strings of any length, as sums over arrays of bytes."""
+    import pandas as pd
+
+    def sums(column: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(raw: bytes | None) -> int | None:
+            if raw is None:
+                return None
+            codes = np.frombuffer(raw, np.uint8).astype(np.int64)
+            weights = np.arange(len(codes), 0, -1) % 65535
+            return int((codes * weights).sum() % 65535) << 16 | int(codes.sum() % 65535)
+
+        return pd.Series([one(x) for x in column], dtype="Int64")
+
+    return F.pandas_udf(sums, "long", F.PandasUDFType.SCALAR)(data.cast("binary"))

@@ -363,7 +363,7 @@ def storage_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def byte_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", checksums.crc32(F.col("text")).alias("crc32"))
+    return d.select("doc_id", checksums.crc32(F.col("text")).alias("crc32"), checksums.fletcher_of_long(F.col("text")).alias("fletcher"))
 
 
 @query
