@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def _codes(text: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a of 32 bits over UTF-16 code units."""
+    """FNV-1a of 32 bits over UTF-16 code units, unit by unit, as each depends on the hash so far; meant for names."""
     start = F.lit(0x811C9DC5).cast("long")
     hashed = F.aggregate(_codes(text), start, lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(0x01000193).cast("long"), F.lit(1 << 32)))
     return F.when(F.length(text) == 0, start).otherwise(hashed)
@@ -26,28 +28,10 @@ def fnv1a(text: Column) -> Column:
 def fletcher(data: Column) -> Column:
     """Two running sums modulo 65535, of bytes and of the first sum.
 
-    In closed form: the n bytes b_i add up to lo, and to hi with the weights n - i + 1.
+    In closed form, over arrays of bytes: the n bytes b_i add up to lo, and to hi with the weights n - i + 1.
     """
-    raw = data.cast("binary")
-    n = F.octet_length(raw)
-    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    state = F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
-
-    def add(s: Column, i: Column) -> Column:
-        lo = (s["lo"] + F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long")) % 65535
-        return F.struct(lo.alias("lo"), ((s["hi"] + lo) % 65535).alias("hi"))
-
-    total = F.aggregate(places, state, add)
-    return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.shiftleft(total["hi"], 16).bitwiseOR(total["lo"]))
-
-
-def fletcher_of_long(data: Column) -> Column:
-    """fletcher of byte strings of any length, as sums over arrays of bytes."""
-    import pandas as pd
 
     def sums(column: pd.Series) -> pd.Series:
-        import numpy as np
-
         def one(raw: bytes | None) -> int | None:
             if raw is None:
                 return None
@@ -57,4 +41,4 @@ def fletcher_of_long(data: Column) -> Column:
 
         return pd.Series([one(x) for x in column], dtype="Int64")
 
-    return F.pandas_udf(sums, "long", F.PandasUDFType.SCALAR)(data.cast("binary"))
+    return F.pandas_udf(sums, "long")(data.cast("binary"))

@@ -10,6 +10,7 @@ MIME_VTT = "text/vtt"
 #: Cache policies.
 CACHE_SEGMENT = "public, max-age=31536000, immutable"
 CACHE_MANIFEST = "public, max-age=60"
+CACHE_SECONDS_SEGMENT, CACHE_SECONDS_MANIFEST = 31_536_000, 60
 
 #: Limits.
 MAX_SAMPLES = 5_000_000
@@ -47,6 +48,31 @@ LEVELS = [
 ]
 HIGHEST_LEVEL = 0x34
 
+#: Profiles of encoders in order of preference, with the first two bytes of their codec strings.
+PROFILES = {"main": "4d00", "high": "6400", "baseline": "4200"}
+#: Rungs that all ladders together may have.
+MAX_RUNGS = 10_000
+#: Texts of errors.
+ERRORS = {
+    "timescale": "timescale must be greater than zero",
+    "dimensions": "width and height must be within 1..=16384",
+    "codec_config": "codec_config (avcC) is empty or implausibly large",
+    "target": "target_seconds must be a positive, finite number",
+    "empty": "sample data is empty",
+    "too_large": "sample exceeds the maximum allowed size",
+    "too_many": "segment exceeded the maximum sample count; is the source missing keyframes?",
+    "after_samples": "restoreSegment must be called before any sample is pushed",
+    "duration": "restored segment duration must be finite and non-negative",
+    "audio_after_start": "setAudio must be called before packaging begins",
+    "audio_config": "audio sample entry is missing or implausibly large",
+    "no_audio": "pushAudioSample requires setAudio to have been called",
+    "no_moov": "no moov box found; is this an MP4?",
+    "no_video": "no supported H.264 video track found",
+    "too_many_samples": "file declares more samples than this build will process",
+    "inconsistent": "sample tables are inconsistent",
+    "no_samples": "the video track contains no samples",
+}
+MAX_SAMPLE_ENTRY = 65_536
 PERMANENT_STATUS = (400, 401, 403, 404)
 
 

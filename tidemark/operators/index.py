@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.model import MAX_SAMPLES
+
 from .timeline import as_of
 
 
@@ -19,12 +21,14 @@ def rows_of_columns(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.posexplode(F.arrays_zip(*columns)).alias("sample_idx", "row")).select("sample_idx", "row.*")
 
 
-def expand_runs(runs: DataFrame, key: str, order: str, count: str, value: str) -> DataFrame:
-    """key, sample_idx and value of each run, repeated count times."""
+def expand_runs(runs: DataFrame, key: str, order: str, count: str, value: str, most: int = MAX_SAMPLES) -> DataFrame:
+    """key, sample_idx and value of each run, repeated count times; more than most rows of a key are an error."""
     ends = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum(count).over(ends), F.lit(0)).cast("long")
     placed = runs.filter(F.col(count) > 0).withColumn("__first", first)
-    each = F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col(count) - 1))
+    stop = F.col("__first") + F.col(count)
+    checked = F.when(stop > most, F.raise_error(F.concat(F.lit(f"more than {most} samples of "), F.col(key).cast("string"))).cast("long")).otherwise(stop - 1)
+    each = F.explode(F.sequence(F.col("__first"), checked))
     return placed.select(key, each.alias("sample_idx"), value)
 
 
@@ -33,6 +37,28 @@ def covering_runs(chunks: DataFrame, runs: DataFrame, key: str, chunk: str, *val
     return as_of(chunks, runs, key, chunk, list(values))
 
 
+def sample_rows(tracks: DataFrame, *keys: str) -> DataFrame:
+    """keys, sample_idx, offset, size, duration, is_sync and cts of every sample of tracks with run-length tables (sources/boxes.py).
+
+    Each table becomes rows, and rows meet by (keys, sample_idx): sizes say which samples there are, a duration or offset that is
+    missing is 0, and without a table of sync samples all are. Chunks find their run as in covering_runs.
+    """
+    key = F.struct(*keys).alias("key")
+    runs = lambda c: tracks.select(key, F.posexplode(c).alias("at", "run")).select("key", "at", F.col("run.a").alias("n"), F.col("run.b").alias("value"))
+    sizes = tracks.select(key, F.posexplode("sizes").alias("sample_idx", "size"), F.col("sync").isNotNull().alias("has_table")).withColumn("sample_idx", F.col("sample_idx").cast("long"))
+    durations = expand_runs(runs("stts"), "key", "at", "n", "value").withColumnRenamed("value", "duration")
+    offsets = expand_runs(runs("ctts"), "key", "at", "n", "value").withColumnRenamed("value", "cts")
+    chunks = tracks.select(key, F.posexplode("chunks").alias("chunk", "base")).withColumn("chunk", (F.col("chunk") + 1).cast("long"))
+    covers = tracks.select(key, F.inline("stsc")).select("key", F.col("a").alias("chunk"), F.col("b").alias("n"))
+    filled = covering_runs(chunks, covers, "key", "chunk", "n").withColumn("place", F.struct("chunk", "base"))
+    placed = expand_runs(filled.filter(F.col("n").isNotNull()), "key", "chunk", "n", "place").select("key", "sample_idx", "place.*")
+    listed = tracks.select(key, F.explode("sync").alias("number")).select("key", (F.col("number") - 1).alias("sample_idx"))
+    whole = sizes.join(durations, ["key", "sample_idx"], "left").join(offsets, ["key", "sample_idx"], "left").join(placed, ["key", "sample_idx"], "left")
+    marked = sync_membership(whole, listed, "key", "sample_idx", "has_table")
+    located = marked.withColumn("offset", chunk_offsets(marked, "key", "chunk", "sample_idx", "base", "size"))
+    return located.select("key.*", "sample_idx", "offset", "size", F.coalesce("duration", F.lit(0)).cast("long").alias("duration"), "is_sync", F.coalesce("cts", F.lit(0)).cast("long").alias("cts"))
+
+
 def chunk_offsets(samples: DataFrame, key: str, chunk: str, order: str, base: str, size: str) -> Column:
     """Offset of each sample: its chunk's, and the sizes before it in the chunk."""
     before = Window.partitionBy(key, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -14,10 +14,45 @@ def upsert(store: DataFrame, changes: DataFrame, *keys: str, version: str = "upd
     return latest.select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest)).select(both.columns)
 
 
+HOUR = 3_600_000_000
+
+
 def resumable(jobs: DataFrame) -> DataFrame:
-    """Interrupted jobs with their rank, newest first."""
-    order = Window.orderBy(F.col("updated_at").desc(), "job_id")
-    return jobs.filter(F.col("status") == "processing").withColumn("__o", F.lit(0)).select("job_id", "updated_at", F.row_number().over(order).cast("long").alias("rank"))
+    """Interrupted jobs with their rank, newest first.
+
+    Ranks are counted within each hour and go on from the jobs of later hours. Only the hours' counts are
+    ordered in one place, and there are as many as the time that jobs span has hours.
+    """
+    open_ = jobs.filter(F.col("status") == "processing").select("job_id", "updated_at", F.floor(F.col("updated_at") / HOUR).alias("__hour"))
+    later = Window.orderBy(F.col("__hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = open_.groupBy("__hour").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(later), F.lit(0))).drop("__n")
+    within = Window.partitionBy("__hour").orderBy(F.col("updated_at").desc(), "job_id")
+    return open_.join(before, "__hour").select("job_id", "updated_at", (F.row_number().over(within) + F.col("__before")).cast("long").alias("rank"))
+
+
+def progress(items: DataFrame, key: str, done: Column) -> DataFrame:
+    """key, done and total items, and the fraction done."""
+    found = items.groupBy(key).agg(F.count_if(done).alias("processed"), F.count("*").alias("total"))
+    return found.select(key, "processed", "total", (F.col("processed") / F.col("total")).alias("fraction"))
+
+
+#: Columns of a stored job that its public snapshot leaves out.
+PRIVATE = ("file", "handle", "controller")
+
+
+def snapshot(jobs: DataFrame, *private: str) -> DataFrame:
+    """Jobs as they are shown: without what only the queue may see."""
+    return jobs.drop(*(private or PRIVATE))
+
+
+def of_job(outputs: DataFrame, job: Column) -> DataFrame:
+    """Outputs with the id of the job that they are of."""
+    return outputs.withColumn("job_id", job)
+
+
+def route(messages: DataFrame, handlers: DataFrame, key: str = "job_id") -> DataFrame:
+    """Messages with the handlers of their job; a message that no job waits for is dropped."""
+    return messages.join(handlers, key)
 
 
 def mark_uploaded(outputs: DataFrame, names: DataFrame, *keys: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.model import HIGHEST_LEVEL, LEVELS
+from tidemark.model import HIGHEST_LEVEL, LEVELS, MAX_RUNGS, PROFILES
 
 
 def even(n: Column) -> Column:
@@ -26,10 +26,14 @@ def level_for_frame(width: Column, height: Column, fps: Column | int = 30) -> Co
 def plan(sources: DataFrame, ladders: DataFrame, upscale: bool = False) -> DataFrame:
     """source, ladder, width, height and bitrate of each rendition.
 
-    Ladders are a table of a few rungs, so every source meets every rung by a broadcast of it; the rest is
+    Ladders are a table of a few rungs (an error beyond MAX_RUNGS), which goes into every row as an array; the rest is
     aggregation by (source, ladder), which map-side combining serves.
     """
-    pairs = sources.select("source", F.col("width").alias("sw"), F.col("height").alias("sh")).crossJoin(F.broadcast(ladders))
+    rungs = [r.asDict() for r in ladders.select("ladder", "ord", "height", "bitrate").limit(MAX_RUNGS + 1).collect()]
+    if len(rungs) > MAX_RUNGS:
+        raise ValueError(f"ladders of more than {MAX_RUNGS} rungs")
+    listed = F.array(*(F.struct(F.lit(r["ladder"]).alias("ladder"), *(F.lit(r[c]).cast("long").alias(c) for c in ("ord", "height", "bitrate"))) for r in rungs))
+    pairs = sources.select("source", F.col("width").alias("sw"), F.col("height").alias("sh"), F.inline(listed))
     fits = F.lit(True) if upscale else F.col("height") <= F.col("sh")
     facts = pairs.groupBy("source", "ladder", "sw", "sh").agg(
         F.max(F.when(fits, F.col("height"))).alias("tallest"),
@@ -49,6 +53,14 @@ def plan(sources: DataFrame, ladders: DataFrame, upscale: bool = False) -> DataF
     return best.select("source", "ladder", even(scaled).alias("width"), F.col("even_height").alias("height"), "bitrate")
 
 
+def encoder_codecs(width: Column, height: Column, preferred: Column, fps: Column | int = 30) -> Column:
+    """The codec strings to ask an encoder for, in order: of the preferred profile, then of the others."""
+    level = F.lower(F.lpad(F.hex(level_for_frame(width, height, fps)), 2, "0"))
+    wanted = F.element_at(F.create_map(*(x for name, code in PROFILES.items() for x in (F.lit(name), F.lit(code)))), preferred)
+    order = F.concat(F.array(wanted), F.filter(F.array(*map(F.lit, PROFILES.values())), lambda p: p != wanted))
+    return F.transform(order, lambda p: F.concat(F.lit("avc1."), p, level))
+
+
 def ladder_key(ladders: DataFrame) -> DataFrame:
     """ladder and its rungs as text, in order; null without rungs."""
     listed = ladders.groupBy("ladder").agg(F.array_sort(F.collect_list(F.struct("ord", "height", "bitrate"))).alias("rungs"))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import quoted, srt_to_vtt, track_stem
 
+from .timeline import floor_div, ticks_to_us
+
 URI = 'URI="([^"]*)"'
 
 
 def seconds6(ticks: Column, timescale: int) -> Column:
     """Ticks as seconds with six decimals, from integers; nothing below zero."""
-    micros = F.floor((F.greatest(ticks, F.lit(0)) * 2_000_000 + timescale) / (2 * timescale)).cast("long")
-    return F.concat(F.floor(micros / 1_000_000).cast("string"), F.lit("."), F.lpad((micros % 1_000_000).cast("string"), 6, "0"))
+    micros = ticks_to_us(F.greatest(ticks, F.lit(0)).cast("long"), timescale)
+    return F.concat(floor_div(micros, F.lit(1_000_000)).cast("string"), F.lit("."), F.lpad((micros % 1_000_000).cast("string"), 6, "0"))
 
 
 def media_playlist(segments: DataFrame, key: str, prefix: Column, target_s: int, timescale: int) -> DataFrame:
@@ -52,14 +54,15 @@ def rewrite(playlists: DataFrame, urls: DataFrame, key: str, text: str = "playli
     """Playlists with each name that urls (key, name, url) knows replaced by its address; lines and their count stay.
 
     Names are found as references() finds them, joined to the addresses, and gathered again as one map per
-    playlist, by which every line is rewritten in place.
+    playlist, by which every line is rewritten in place. Of several addresses of a name the least one counts.
     """
-    known = references(playlists, key, text).select(key, "name").distinct().join(urls, [key, "name"])
+    single = urls.groupBy(key, "name").agg(F.min("url").alias("url"))
+    known = references(playlists, key, text).select(key, "name").distinct().join(single, [key, "name"])
     maps = known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "url"))).alias("__urls"))
     joined = playlists.join(maps, key, "left")
     url = lambda name: F.try_element_at(F.col("__urls"), name)
     piece = lambda p: F.when(  # noqa: E731  a part that begins with URI=" up to its closing quote
-        p.startswith('URI="') & (F.instr(F.substring(p, 6, 1 << 20), '"') > 0),
+        p.startswith('URI="') & (F.instr(F.substring(p, F.lit(6), F.length(p)), '"') > 0),
         F.coalesce(
             F.concat(F.lit('URI="'), url(F.regexp_extract(p, URI, 1)), F.lit('"'), F.regexp_replace(p, '^URI="[^"]*"', "")), p
         ),
@@ -71,6 +74,14 @@ def rewrite(playlists: DataFrame, urls: DataFrame, key: str, text: str = "playli
     return joined.select(key, F.array_join(F.transform(F.split(text, "\n"), rewritten), "\n").alias("playlist"))
 
 
+def main_playlist(outputs: DataFrame, key: str, order: str = "ord", name: str = "name", is_manifest: str = "is_manifest") -> DataFrame:
+    """key and the manifest to give a player: the last one that is named a master, else the first; keys without one are left out."""
+    found = outputs.filter(F.col(is_manifest)).groupBy(key).agg(
+        F.max_by(F.when(F.col(name).contains("master"), F.col(name)), F.when(F.col(name).contains("master"), F.col(order))).alias("__master"), F.min_by(name, order).alias("__first")
+    )
+    return found.select(key, F.coalesce("__master", "__first").alias("main"))
+
+
 def subtitle_files(tracks: DataFrame, prefix: str, duration_ms: int) -> DataFrame:
     """track key columns, name, content, content_type and is_manifest of the cues and the playlist of each track (language, content)."""
     stem = track_stem(F.lit(prefix), F.col("language"))

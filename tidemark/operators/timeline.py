@@ -19,15 +19,25 @@ def merge(first: DataFrame, second: DataFrame, time: str, key: str, *tie: str) -
 
 def _both(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], strict: bool) -> DataFrame:
     # At equal times a row sees those with a lower rank: matches before lookups, or the other way if strict.
-    looked = right.select(key, time, F.lit(1 if strict else 0).alias("__rank"), F.struct(*values).alias("__value"))
+    looked = right.filter(F.col(time).isNotNull()).select(key, time, F.lit(1 if strict else 0).alias("__rank"), F.struct(*values).alias("__value"))
     return left.withColumn("__rank", F.lit(0 if strict else 1)).withColumn("__asked", F.lit(True)).unionByName(looked, allowMissingColumns=True)
 
 
+def _with_found(both: DataFrame, left: DataFrame, time: str, values: list[str], found: Column) -> DataFrame:
+    """The rows of left with what was found for them; a value whose name left has comes as name_found."""
+    taken = set(left.columns)
+    known = both.withColumn("__found", F.when(F.col(time).isNotNull(), found)).filter("__asked")
+    return known.select(*left.columns, *(F.col(f"__found.{v}").alias(f"{v}_found" if v in taken else v) for v in values))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], strict: bool = False) -> DataFrame:
-    """left with values of the last row of right, of the same key, at or before (strict: before) its time; null if none."""
+    """left with values of the last row of right, of the same key, at or before (strict: before) its time; null if none.
+
+    Rows of left without a time find nothing, and rows of right without one are never found.
+    """
     order = Window.partitionBy(key).orderBy(time, "__rank").rowsBetween(Window.unboundedPreceding, 0)
-    both = _both(left, right, key, time, values, strict).withColumn("__found", F.last("__value", ignorenulls=True).over(order))
-    return both.filter("__asked").select(*left.columns, *(F.col(f"__found.{v}").alias(v) for v in values))
+    both = _both(left, right, key, time, values, strict)
+    return _with_found(both, left, time, values, F.last("__value", ignorenulls=True).over(order))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
@@ -36,9 +46,37 @@ def nearest(left: DataFrame, right: DataFrame, key: str, time: str, values: list
     later = Window.partitionBy(key).orderBy(time, "__rank").rowsBetween(0, Window.unboundedFollowing)
     both = _both(left, right, key, time, values, False)
     found = F.coalesce(F.last("__value", ignorenulls=True).over(past), F.first("__value", ignorenulls=True).over(later))
-    return both.withColumn("__found", found).filter("__asked").select(*left.columns, *(F.col(f"__found.{v}").alias(v) for v in values))
+    return _with_found(both, left, time, values, found)
+
+
+def rescaled(ticks: Column, timescale: Column | int, per_second: Column | int) -> Column:
+    """Ticks of one timescale in another, halves up, exactly in 64-bit integers: whole seconds and the rest go apart.
+
+    Exact for timescales up to 2**32 of which the product is below 2**62.
+    """
+    old, new = F.lit(timescale).cast("long"), F.lit(per_second).cast("long")
+    rest = F.pmod(ticks, old)
+    return floor_div(ticks - rest, old) * new + floor_div(rest * new * 2 + old, old * 2)
+
+
+def floor_div(a: Column, b: Column) -> Column:
+    """The integer quotient of longs, rounded down; b is positive."""
+    return F.call_function("div", a - F.pmod(a, b), b)
+
+
+def ticks_to_us(ticks: Column, timescale: Column | int) -> Column:
+    return rescaled(ticks, timescale, 1_000_000)
+
+
+def us_to_ticks(us: Column, rate: Column | int) -> Column:
+    """Microseconds as ticks of an audio track, which runs at its sample rate."""
+    return rescaled(us, 1_000_000, rate)
+
+
+def ticks_to_seconds(ticks: Column, timescale: Column | int) -> Column:
+    return ticks / F.greatest(F.lit(timescale), F.lit(1))
 
 
-def ticks_to_us(ticks: Column, timescale: Column) -> Column:
-    """Half-up, in integers."""
-    return F.floor((ticks * F.lit(2_000_000) + timescale) / (timescale * 2)).cast("long")
+def seconds_to_ticks(seconds: Column, timescale: Column | int) -> Column:
+    """A target duration in ticks: one at least."""
+    return F.greatest(F.lit(1), F.floor(seconds * F.lit(timescale) + 0.5)).cast("long")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.model import MAX_CODEC_CONFIG, MAX_DIMENSION, MAX_PENDING, MAX_SAMPLE_BYTES
+from tidemark.model import ERRORS, MAX_CODEC_CONFIG, MAX_DIMENSION, MAX_PENDING, MAX_SAMPLE_BYTES, MAX_SAMPLE_ENTRY
 
 
 def _finite(x: Column) -> Column:
@@ -33,6 +33,29 @@ def restore_error(duration_s: Column, samples_seen: Column) -> Column:
     return F.when(samples_seen > 0, "after_samples").when(~_finite(duration_s) | (duration_s < 0), "duration")
 
 
+def audio_error(timescale: Column, entry_bytes: Column, started: Column) -> Column:
+    """What is wrong with setting an audio track; null if nothing is."""
+    return F.when(started, "audio_after_start").when(timescale <= 0, "timescale").when(~entry_bytes.between(8, MAX_SAMPLE_ENTRY) | entry_bytes.isNull(), "audio_config")
+
+
+def audio_sample_error(has_audio: Column, size: Column, pending: Column) -> Column:
+    return F.when(~has_audio, "no_audio").otherwise(sample_error(size, pending))
+
+
+def error_text(error: Column) -> Column:
+    """What an error of these functions says."""
+    return F.try_element_at(F.create_map(*(x for code, text in ERRORS.items() for x in (F.lit(code), F.lit(text)))), error)
+
+
+def support(spark: SparkSession) -> DataFrame:
+    """What this engine can do: feature, available, and the reason where it can't."""
+    rows = [
+        ("remux", True, None), ("resume", True, None), ("seamless_resume", True, None),
+        ("transcode", False, "decoding and encoding need a codec, which this engine doesn't have"),
+    ]
+    return spark.createDataFrame(rows, "feature string, available boolean, reason string")
+
+
 def clean_duration(seconds: Column) -> Column:
     return F.when((seconds > 0) & _finite(seconds), seconds).otherwise(0.0)
 
