@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import random
+import threading
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import fold, index, ladder, segment
+from tidemark.operators import fold, index, jobs, ladder, segment, timeline
 from tidemark.plans.catalogue import TARGET
-from tidemark.sources import boxes, sinks, views
-from tidemark.streaming.segmenter import stream_segments
+from tidemark.sources import boxes, media, sinks, views
+from tidemark.streaming import control
+from tidemark.streaming.segmenter import Segmenter, stream_segments
 
 
 def cut_plainly(durations, sync, target):
@@ -121,7 +125,7 @@ def test_movie_tables():
     stbl = boxes.box("stbl", table("stts", ">II", (2, 100), (3, 200)), table("stsc", ">III", (1, 2, 1), (3, 1, 1)), table("stco", ">I", (10_000,), (20_000,), (30_000,)), table("stss", ">I", (1,), (4,)), boxes.full_box("stsz", 0, 0, struct.pack(">II", 50, 5)))
     trak = boxes.box("trak", boxes.full_box("tkhd", 0, 0, struct.pack(">III", 0, 0, 9)), boxes.box("mdia", boxes.full_box("mdhd", 0, 0, struct.pack(">III", 0, 0, 90_000)), boxes.full_box("hdlr", 0, 0, struct.pack(">I4s", 0, b"vide")), boxes.box("minf", stbl)))
     (track,) = boxes.track_tables(boxes.box("ftyp", b"isom") + boxes.box("moov", trak))
-    assert track == {"track_id": 9, "handler": "vide", "timescale": 90_000, "stts": [(2, 100), (3, 200)], "ctts": [], "stsc": [(1, 2, 1), (3, 1, 1)], "sizes": [50] * 5, "chunks": [10_000, 20_000, 30_000], "sync": [1, 4]}
+    assert track == {"track_id": 9, "handler": "vide", "timescale": 90_000, "stts": [(2, 100), (3, 200)], "ctts": [], "stsc": [(1, 2, 1), (3, 1, 1)], "sizes": [50] * 5, "chunks": [10_000, 20_000, 30_000], "sync": [1, 4], "stsd": b""}
 
 
 def test_box_source(spark, tmp_path):
@@ -138,8 +142,14 @@ def test_archives_and_uploads(spark, tmp_path):
 
     rows = [(1, 0, "../a.txt", b"one"), (1, 1, "d/b.txt", b"two"), (2, 0, "c", b"")]
     outputs = spark.createDataFrame(rows, "job long, ord long, name string, data binary")
-    found = {r["job"]: r["archive"] for r in sinks.archives(outputs, "job").collect()}
-    assert zipfile.ZipFile(io.BytesIO(found[1])).namelist() == ["a.txt", "d/b.txt"]
+    parts = sinks.archive_parts(outputs, "job").orderBy("job", "part").collect()
+    whole = {job: b"".join(bytes(r["bytes"]) for r in parts if r["job"] == job) for job in (1, 2)}
+    archive = zipfile.ZipFile(io.BytesIO(whole[1]))
+    assert archive.testzip() is None and [(n, archive.read(n)) for n in archive.namelist()] == [("a.txt", b"one"), ("d/b.txt", b"two")]
+    assert zipfile.ZipFile(io.BytesIO(whole[2])).namelist() == ["c"]
+    for limits in ({"entries": 1}, {"size": 40}):
+        with pytest.raises(Exception, match="at most"):
+            sinks.archive_parts(outputs, "job", **limits).collect()
 
     folder = str(tmp_path)
 
@@ -171,8 +181,9 @@ def test_retry_stops_at_permanent_errors():
 def test_stream_equals_batch(spark, data, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    v = views.samples(spark, data).filter(F.col("track") % 10 == 3).withColumn("is_end", F.lit(False)).select("track", "sample_idx", "duration", "is_sync", "size", "is_end").cache()
-    ends = v.groupBy("track").agg(F.max("sample_idx").alias("m")).select("track", (F.col("m") + 1).alias("sample_idx"), F.lit(0).cast("long").alias("duration"), F.lit(False).alias("is_sync"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("is_end"))
+    columns = ("track", "pos", "sample_idx", "duration", "is_sync", "size", "is_audio", "is_end")
+    v = views.samples(spark, data).filter(F.col("track") % 10 == 3).withColumns({"is_end": F.lit(False), "is_audio": F.lit(False), "pos": F.col("sample_idx")}).select(*columns).cache()
+    ends = v.groupBy("track").agg((F.max("sample_idx") + 1).alias("sample_idx")).withColumns({"pos": F.col("sample_idx"), "duration": F.lit(0).cast("long"), "size": F.lit(0).cast("long"), "is_sync": F.lit(False), "is_audio": F.lit(False), "is_end": F.lit(True)}).select(*columns)
 
     def run():
         stream = stream_segments(spark.readStream.schema(v.schema).parquet(source), TARGET)
@@ -184,4 +195,138 @@ def test_stream_equals_batch(spark, data, tmp_path):
     v.filter(F.col("sample_idx") >= 5).union(ends).coalesce(1).write.mode("append").parquet(source)
     run()
     batch = segment.segments(views.samples(spark, data).filter(F.col("track") % 10 == 3), TARGET).select("track", "seg_idx", "first_sample", "n", "ticks", "bytes")
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, spark.read.parquet(out).drop("n_audio", "audio_ticks", "audio_bytes").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def plain_segments(rows, target):
+    """Segments of rows (duration, sync, size, audio, end), by the rules one row at a time."""
+    out, seg, v, a = [], 0, [], []
+    for k, (duration, sync, size, audio, end) in enumerate(rows):
+        if v and (end or not audio and sync and sum(x[1] for x in v) >= target):
+            out.append((seg, v[0][0], len(v), sum(x[1] for x in v), sum(x[2] for x in v), len(a), sum(x[0] for x in a), sum(x[1] for x in a)))
+            seg, v, a = seg + 1, [], []
+        if not end:
+            a, v = (a + [(duration, size)], v) if audio else (a, v + [(k, duration, size)])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_segmenter_keeps_audio_with_its_segment(seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([0, 2, 5]), rng.random() < 0.4, rng.randint(1, 9), rng.random() < (1 if k < 3 else 0.4), False) for k in range(rng.randint(1, 50))] + [(0, False, 0, False, True)]
+    frame = pd.DataFrame(rows, columns=["duration", "is_sync", "size", "is_audio", "is_end"]).assign(sample_idx=range(len(rows)), pos=range(len(rows)))
+
+    class Handle:
+        def __init__(self):
+            self.value = None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    cutter = Segmenter(9)
+    cutter.init(Handle())
+    out, at = [], 0
+    while at < len(rows):
+        k = rng.randint(1, 12)
+        out += [tuple(r)[1:] for made in cutter.handleInputRows((1,), iter([frame.iloc[at : at + k]]), None) for r in made.itertuples(index=False)]
+        at += k
+    assert out == plain_segments(rows, 9)
+
+
+def test_streams_report_and_stop(spark, data, tmp_path):
+    v = views.samples(spark, data).filter(F.col("track") == 3).select("track", "sample_idx")
+    v.repartition(3).write.parquet(str(tmp_path / "in"))
+    query = control.run_through(control.pulled(spark, v.schema, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "state"))
+    found = control.progress_rows(query).collect()
+    assert sum(r["rows"] for r in found) == v.count() and len(found) >= 3 and {r["phase"] for r in found} == {"done"}
+    with control.cancellable(spark, "slow"):
+        worker = threading.Thread(target=lambda: (time.sleep(3), control.cancel(spark, "slow")))
+        worker.start()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            spark.range(8).repartition(4).mapInPandas(lambda frames: (f.assign(id=time.sleep(20) or 1) for f in frames), "id long").count()
+        worker.join()
+
+
+def test_durable_writes_before_its_checkpoint():
+    calls = []
+    sinks.durable(lambda f: calls.append(("write", f)), lambda f: calls.append(("checkpoint", f)))("frame", 4)
+    assert calls == [("write", "frame"), ("checkpoint", "frame")]
+
+
+def test_movies_and_fragments_are_read_without_their_media(spark, tmp_path):
+    video = media.VideoEntry("avc1", 64, 48, bytes(20))
+    movie = media.movie(10, video, [(8, 4, 5, True, 0), (12, 4, 5, False, 0)])
+    good, bad, pieces = (tmp_path / n for n in ("good.mp4", "bad.mp4", "pieces.mp4"))
+    good.write_bytes(movie[: movie.index(b"moov") - 4] + boxes.box("mdat", bytes(5000)) + movie[movie.index(b"moov") - 4 :])
+    bad.write_bytes(boxes.box("ftyp", b"x") + boxes.box("mdat", bytes(9)))
+    pieces.write_bytes(b"".join(boxes.media_segment(k, 1, 0, [(1, True, 0, b"abc" * k)]) for k in (1, 2, 3)))
+    for source in (boxes.MovieSource, boxes.FragmentSource):
+        spark.dataSource.register(source)
+    load = lambda kind, path: spark.read.format(kind).option("paths", str(path)).load()
+    tracks = media.movies(load("movies", good), "path")
+    assert [(r["width"], r["height"], r["sizes"], r["sync"]) for r in tracks.collect()] == [(64, 48, [4, 4], [1])]
+    assert media.inspected(tracks, "path").first()["error"] is None
+    with pytest.raises(Exception, match="Top-level boxes: ftyp, mdat"):
+        load("movies", bad).collect()
+    found = load("fragments", f"{pieces},{good}").orderBy("path", "n").collect()
+    assert [(r["n"], bytes(r["content"][4:8])) for r in found] == [(k, b"moof") for k in range(3)]
+    assert [r["size"] for r in boxes.fragments(load("fragments", pieces).withColumnRenamed("offset", "at"), "at").orderBy("at").collect()] == [3, 6, 9]
+
+
+def test_limits_of_boxes(monkeypatch, tmp_path):
+    import struct
+
+    stsz = boxes.full_box("stsz", 0, 0, struct.pack(">II", 7, 0xFFFFFFFF))
+    with pytest.raises(ValueError, match="more samples"):
+        boxes.track_tables(boxes.box("moov", boxes.box("trak", boxes.box("mdia", boxes.box("minf", boxes.box("stbl", stsz))))))
+    deep = b""
+    for _ in range(3000):
+        deep = boxes.box("moov", deep)
+    assert max(d for _, d, *_ in boxes.walk_all(deep)) == 2999
+    path = tmp_path / "a.mp4"
+    path.write_bytes(boxes.box("moov", bytes(100)) + boxes.box("moof", bytes(100)))
+    for name, reader in (("MAX_MOOV", boxes.MovieReader), ("MAX_MOOF", boxes.FragmentReader)):
+        monkeypatch.setattr(boxes, name, 50)
+        with pytest.raises(ValueError, match="implausibly large"):
+            list(reader({"paths": str(path)}).read(boxes.BoxPartition(str(path))))
+
+
+def test_runs_beyond_the_limit_fail(spark):
+    runs = spark.createDataFrame([(1, 0, 4, 100), (1, 1, 3, 7)], "t long, r long, n long, d long")
+    assert index.expand_runs(runs, "t", "r", "n", "d", 7).count() == 7
+    with pytest.raises(Exception, match="more than 6 samples of 1"):
+        index.expand_runs(runs, "t", "r", "n", "d", 6).collect()
+
+
+def test_as_of_without_times_and_with_clashing_names(spark):
+    left = spark.createDataFrame([(1, 5, "a"), (1, None, "b"), (2, 5, "c")], "k long, t long, v string")
+    right = spark.createDataFrame([(1, 4, "x"), (1, None, "y")], "k long, t long, v string")
+    for found in (timeline.as_of(left, right, "k", "t", ["v"]), timeline.nearest(left, right, "k", "t", ["v"])):
+        assert {r["v"]: r["v_found"] for r in found.collect()} == {"a": "x", "b": None, "c": None}
+
+
+@pytest.mark.parametrize(("ticks", "scale", "us"), [(4_500_000_000_001, 3, 1_500_000_000_000_333_333), (10**13, 1_000_000, 10**13), (1, 3, 333_333), (2, 3, 666_667), (-1, 2, -500_000), (1, 2_000_000, 1), (0, 1, 0)])
+def test_time_scales_are_exact(spark, ticks, scale, us):
+    assert spark.range(1).select(timeline.ticks_to_us(F.lit(ticks).cast("long"), scale)).first()[0] == us
+
+
+def test_ladders_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ladder, "MAX_RUNGS", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        ladder.plan(spark.createDataFrame([(1, 10, 10)], "source long, width long, height long"), views.ladders(spark))
+
+
+def test_resumable_jobs_over_several_hours(spark):
+    rows = [(k, "processing" if k % 4 else "done", (k * 7919 % 50) * 1_800_000_000) for k in range(80)]
+    found = {r["job_id"]: r["rank"] for r in jobs.resumable(spark.createDataFrame(rows, "job_id long, status string, updated_at long")).collect()}
+    order = sorted((r for r in rows if r[1] == "processing"), key=lambda r: (-r[2], r[0]))
+    assert found == {r[0]: n for n, r in enumerate(order, 1)}

@@ -11,3 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table; Python workers look for this package where the driver has it unless told otherwise."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: that of spark.checkpoint.dir; a temporary one serves a local master only."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not (context.master or "").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="shared-")

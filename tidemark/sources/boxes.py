@@ -6,14 +6,17 @@ Python runs here only, where bytes are taken apart or put together; what comes o
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from tidemark.model import ERRORS, MAX_MOOF, MAX_MOOV, MAX_SAMPLES
+
 #: Boxes that hold boxes.
 CONTAINERS = frozenset("moov trak mdia minf stbl mvex moof traf dinf edts udta".split())
 
@@ -36,13 +39,20 @@ def walk(data: bytes, start: int = 0, stop: int | None = None) -> Iterator[tuple
         at += size
 
 
-def walk_all(data: bytes, start: int = 0, stop: int | None = None, path: str = "", depth: int = 0) -> Iterator[tuple[str, int, int, int, int]]:
-    """path, depth, place, header length and size of all boxes, parents before children."""
-    for kind, at, header, size in walk(data, start, stop):
+def walk_all(data: bytes, start: int = 0, stop: int | None = None) -> Iterator[tuple[str, int, int, int, int]]:
+    """path, depth, place, header length and size of all boxes, parents before children, however deep."""
+    pending = [("", 0, walk(data, start, stop))]
+    while pending:
+        path, depth, boxes = pending[-1]
+        found = next(boxes, None)
+        if found is None:
+            pending.pop()
+            continue
+        kind, at, header, size = found
         here = f"{path}/{kind}" if path else kind
         yield here, depth, at, header, size
-        if kind in CONTAINERS and depth < 16:
-            yield from walk_all(data, at + header, at + size, here, depth + 1)
+        if kind in CONTAINERS:
+            pending.append((here, depth + 1, walk(data, at + header, at + size)))
 
 
 def _entries(body: bytes, form: str) -> list[tuple[int, ...]]:
@@ -55,12 +65,12 @@ def _entries(body: bytes, form: str) -> list[tuple[int, ...]]:
 
 
 def track_tables(data: bytes) -> list[dict[str, object]]:
-    """For each track of a movie: its id, handler, timescale and run-length tables, as far as they can be read."""
+    """For each track of a movie: its id, handler, timescale, description and run-length tables, as far as they can be read."""
     tracks: list[dict[str, object]] = []
     for path, _, at, header, size in walk_all(data):
         body = data[at + header : at + size]
         if path == "moov/trak":
-            tracks.append({"track_id": 0, "handler": "", "timescale": 0, "stts": [], "ctts": [], "stsc": [], "sizes": [], "chunks": [], "sync": None})
+            tracks.append({"track_id": 0, "handler": "", "timescale": 0, "stts": [], "ctts": [], "stsc": [], "sizes": [], "chunks": [], "sync": None, "stsd": b""})
         if not tracks or not path.startswith("moov/trak/"):
             continue
         t, kind = tracks[-1], path.rpartition("/")[2]
@@ -71,6 +81,8 @@ def track_tables(data: bytes) -> list[dict[str, object]]:
             t["timescale"] = struct.unpack_from(">I", body, 20 if wide else 12)[0]
         elif kind == "hdlr" and len(body) >= 12:
             t["handler"] = body[8:12].decode("latin-1")
+        elif kind == "stsd":
+            t["stsd"] = body
         elif kind == "stts":
             t["stts"] = _entries(body, ">II")
         elif kind == "ctts":
@@ -85,6 +97,8 @@ def track_tables(data: bytes) -> list[dict[str, object]]:
             t["sync"] = [x[0] for x in _entries(body, ">I")]
         elif kind == "stsz" and len(body) >= 12:
             fixed, count = struct.unpack_from(">II", body, 4)
+            if count > MAX_SAMPLES:
+                raise ValueError(ERRORS["too_many_samples"])
             t["sizes"] = [fixed] * count if fixed else [x[0] for x in struct.iter_unpack(">I", body[12 : 12 + 4 * min(count, (len(body) - 12) // 4)])]
     return tracks
 
@@ -174,13 +188,40 @@ def fragment_samples(data: bytes) -> list[tuple[int, int, int, int, bool, int]]:
     return out
 
 
+def opened(path: str):  # noqa: ANN201
+    """A file for ranged reads, and its size: of a mounted folder, or of a store that has an address."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    file = store.open_input_file(inner)
+    return file, file.size()
+
+
+def top_level(file, end: int) -> Iterator[tuple[str, int, int, int]]:  # noqa: ANN001
+    """kind, place, header length and size of the top-level boxes of a file, of which only headers are read."""
+    at = 0
+    while at + 8 <= end:
+        file.seek(at)
+        head = file.read(min(16, end - at))
+        size, kind = struct.unpack_from(">I4s", head)
+        header = 8
+        if size == 1 and len(head) == 16:
+            size, header = struct.unpack_from(">Q", head, 8)[0], 16
+        elif size == 0:
+            size = end - at
+        if size < header or at + size > end:
+            return
+        yield kind.decode("latin-1"), at, header, size
+        at += size
+
+
 class BoxPartition(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
 
 
 class BoxReader(DataSourceReader):
-    """Top-level boxes of local or mounted files, one task a file, reading their headers only."""
+    """One task a file."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
@@ -188,38 +229,95 @@ class BoxReader(DataSourceReader):
     def partitions(self) -> list[BoxPartition]:
         return [BoxPartition(p) for p in self.paths]
 
-    def read(self, partition: BoxPartition) -> Iterator[tuple[str, str, int, int]]:
-        import os
+    def read(self, partition: BoxPartition) -> Iterator[tuple]:
+        file, end = opened(partition.path)
+        with file:
+            yield from self.rows(partition.path, file, end)
+
+    def rows(self, path: str, file, end: int) -> Iterator[tuple]:  # noqa: ANN001
+        for kind, at, _, size in top_level(file, end):
+            yield path, kind, at, size
 
-        end, at = os.path.getsize(partition.path), 0
-        with open(partition.path, "rb") as file:
-            while at + 8 <= end:
+
+class MovieReader(BoxReader):
+    def rows(self, path: str, file, end: int) -> Iterator[tuple]:  # noqa: ANN001
+        kinds = []
+        for kind, at, header, size in top_level(file, end):
+            kinds.append(kind)
+            if kind == "moov":
+                if size - header > MAX_MOOV:
+                    raise ValueError(f"'moov' box is implausibly large ({size - header} bytes); refusing to read")
                 file.seek(at)
-                head = file.read(16)
-                size, kind = struct.unpack_from(">I4s", head)
-                header = 8
-                if size == 1 and len(head) == 16:
-                    size, header = struct.unpack_from(">Q", head, 8)[0], 16
-                elif size == 0:
-                    size = end - at
-                if size < header or at + size > end:
-                    return
-                yield partition.path, kind.decode("latin-1"), at, size
-                at += size
+                yield path, at, file.read(size)
+                return
+        raise ValueError(f"No 'moov' box found — not a valid MP4. Top-level boxes: {', '.join(kinds) or 'none'}")
+
+
+class FragmentReader(BoxReader):
+    def rows(self, path: str, file, end: int) -> Iterator[tuple]:  # noqa: ANN001
+        for n, (_, at, _, size) in enumerate(x for x in top_level(file, end) if x[0] == "moof"):
+            if size > MAX_MOOF:
+                raise ValueError(f"A 'moof' box at offset {at} is implausibly large ({size} bytes)")
+            file.seek(at)
+            yield path, n, at, file.read(size)
 
 
 class BoxSource(DataSource):
-    """spark.read.format("boxes").option("paths", "a.mp4,b.mp4"): path, kind, offset and size."""
+    """spark.read.format("boxes").option("paths", "a.mp4,b.mp4"): path, kind, offset and size of the top-level boxes."""
+
+    columns, kind = "path string, kind string, offset long, size long", BoxReader
 
     @classmethod
     def name(cls) -> str:
         return "boxes"
 
     def schema(self) -> str:
-        return "path string, kind string, offset long, size long"
+        return self.columns
 
     def reader(self, schema: object) -> BoxReader:
-        return BoxReader(self.options)
+        return self.kind(self.options)
+
+
+class MovieSource(BoxSource):
+    """format("movies"): path, offset and content of each file's moov box, wherever it stands; a file without one is an error."""
+
+    columns, kind = "path string, offset long, content binary", MovieReader
+
+    @classmethod
+    def name(cls) -> str:
+        return "movies"
+
+
+class FragmentSource(BoxSource):
+    """format("fragments"): path, n, offset and content of every moof box, in order, without the media between them."""
+
+    columns, kind = "path string, n long, offset long, content binary", FragmentReader
+
+    @classmethod
+    def name(cls) -> str:
+        return "fragments"
+
+
+def rows_of(files: DataFrame, key: str, content: str, schema: str, rows: Callable[[bytes], list[tuple]]) -> DataFrame:
+    """key, and the columns of schema that rows makes of the content of each file."""
+    kind = files.schema[key].dataType.simpleString()
+    whole = f"`{key}` {kind}, {schema}"
+    types = to_arrow_schema(files.sparkSession.createDataFrame([], whole).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.column(0)[k].as_py()
+                found = [(own, *r) for r in rows(batch.column(1)[k].as_py() or b"")]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), types, strict=True)], schema=types)
+
+    return files.select(key, content).mapInArrow(run, whole)
+
+
+def fragments(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key, n, track_id, offset, size, duration, is_sync and cts of each sample of the fragments of each file."""
+    return rows_of(files, key, content, "n long, track_id long, offset long, size long, duration long, is_sync boolean, cts long", lambda data: [(n, *x) for n, x in enumerate(fragment_samples(data))])
 
 
 def zip_entry_offsets(entries: DataFrame, key: str, order: str, name: str, size: str) -> DataFrame:
@@ -252,7 +350,8 @@ def read_samples(samples: DataFrame, window: int) -> DataFrame:
                     stop += 1
                 first = columns["offset"][at]
                 last = columns["offset"][stop - 1] + columns["size"][stop - 1]
-                with open(columns["path"][at], "rb") as file:
+                file, _ = opened(columns["path"][at])
+                with file:
                     file.seek(first)
                     block = file.read(last - first)
                 if len(block) < last - first:

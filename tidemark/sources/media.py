@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import struct
+from itertools import groupby
 from typing import NamedTuple
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tidemark.model import MAX_CODEC_CONFIG, MAX_DIMENSION
 
-from .boxes import box, full_box, walk, walk_all
+from .boxes import box, full_box, rows_of, track_tables, walk, walk_all
 
 #: Tags of the descriptors around an audio configuration.
 ES, DECODER, SPECIFIC, LAYER = 3, 4, 5, 6
@@ -122,9 +126,30 @@ def track_defaults(moov: bytes) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def _track(number: int, timescale: int, handler: bytes, header: bytes, entry: bytes, width: int, height: int, volume: int) -> bytes:
+#: offset, size, duration, sync and composition offset.
+Sample = tuple[int, int, int, bool, int]
+
+
+def sample_tables(samples: list[Sample], per_chunk: int = 1) -> bytes:
+    """Run-length tables of samples of which per_chunk at a time stand in one chunk."""
+    listed = lambda kind, form, rows, version=0: full_box(kind, version, 0, struct.pack(">I", len(rows)), *(struct.pack(form, *r) for r in rows))
+    runs = lambda values: [(len(list(g)), v) for v, g in groupby(values)]
+    chunks = [(x[0],) for x in samples[::per_chunk]]
+    rest = len(samples) % per_chunk
+    spread = [(1, per_chunk, 1)] if len(samples) >= per_chunk else []
+    tables = [listed("stts", ">II", runs(x[2] for x in samples)), listed("stsc", ">III", [*spread, *([(len(chunks), rest, 1)] if rest else [])])]
+    if any(x[4] for x in samples):
+        tables.append(listed("ctts", ">Ii", runs(x[4] for x in samples), 1))
+    if not all(x[3] for x in samples):
+        tables.append(listed("stss", ">I", [(k,) for k, x in enumerate(samples, 1) if x[3]]))
+    wide = any(c >= 1 << 32 for (c,) in chunks)
+    sizes = full_box("stsz", 0, 0, struct.pack(">II", 0, len(samples)), *(struct.pack(">I", x[1]) for x in samples))
+    return b"".join([*tables, sizes, listed("co64" if wide else "stco", ">Q" if wide else ">I", chunks)])
+
+
+def _track(number: int, timescale: int, handler: bytes, header: bytes, entry: bytes, width: int, height: int, volume: int, tables: bytes | None = None) -> bytes:
     empty = b"".join(full_box(k, 0, 0, struct.pack(">I", 0)) for k in ("stts", "stsc", "stco")) + full_box("stsz", 0, 0, struct.pack(">II", 0, 0))
-    table = box("stbl", full_box("stsd", 0, 0, struct.pack(">I", 1), entry), empty)
+    table = box("stbl", full_box("stsd", 0, 0, struct.pack(">I", 1), entry), empty if tables is None else tables)
     location = box("dinf", full_box("dref", 0, 0, struct.pack(">I", 1), full_box("url ", 0, 1)))
     media = box(
         "mdia", full_box("mdhd", 0, 0, struct.pack(">IIIIHH", 0, 0, timescale, 0, 0x55C4, 0)), full_box("hdlr", 0, 0, bytes(4), handler, bytes(12), b"\0"), box("minf", header, location, table)
@@ -134,15 +159,77 @@ def _track(number: int, timescale: int, handler: bytes, header: bytes, entry: by
 
 def init_segment(timescale: int, video: VideoEntry, audio: Aac | None = None) -> bytes:
     """File type and movie boxes of a fragmented file: empty tables, and defaults of every track."""
+    tracks = _tracks(timescale, video, audio, None, None)
+    defaults = box("mvex", *(full_box("trex", 0, 0, struct.pack(">5I", k + 1, 1, 0, 0, 0)) for k in range(len(tracks))))
+    return box("ftyp", b"iso5\0\0\0\0iso5iso6mp41") + box("moov", _header(timescale, len(tracks)), *tracks, defaults)
+
+
+def movie(timescale: int, video: VideoEntry, samples: list[Sample], audio: Aac | None = None, audio_samples: list[Sample] | None = None, per_chunk: int = 1) -> bytes:
+    """File type and movie boxes of a file whose tables say where its samples are."""
+    tracks = _tracks(timescale, video, audio, sample_tables(samples, per_chunk), sample_tables(audio_samples or [], per_chunk))
+    return box("ftyp", b"isom\0\0\0\0isomavc1") + box("moov", _header(timescale, len(tracks)), *tracks)
+
+
+def _header(timescale: int, tracks: int) -> bytes:
+    return full_box("mvhd", 0, 0, struct.pack(">IIIIIH10x", 0, 0, timescale, 0, 0x10000, 0x100), _MATRIX, bytes(24), struct.pack(">I", tracks + 1))
+
+
+def _tracks(timescale: int, video: VideoEntry, audio: Aac | None, tables: bytes | None, audio_tables: bytes | None) -> list[bytes]:
     entry = box("avc1", bytes(6), struct.pack(">H16xHHIII", 1, video.width, video.height, 0x480000, 0x480000, 0), struct.pack(">H32xHh", 1, 24, -1), box("avcC", video.config))
-    tracks = [_track(1, timescale, b"vide", full_box("vmhd", 0, 1, bytes(8)), entry, video.width, video.height, 0)]
+    tracks = [_track(1, timescale, b"vide", full_box("vmhd", 0, 1, bytes(8)), entry, video.width, video.height, 0, tables)]
     if audio:
-        tracks.append(_track(2, audio.sample_rate, b"soun", full_box("smhd", 0, 0, bytes(4)), aac_entry(audio), 0, 0, 0x100))
-    defaults = box("mvex", *(full_box("trex", 0, 0, struct.pack(">5I", k + 1, 1, 0, 0, 0)) for k in range(len(tracks))))
-    movie = full_box("mvhd", 0, 0, struct.pack(">IIIIIH10x", 0, 0, timescale, 0, 0x10000, 0x100), _MATRIX, bytes(24), struct.pack(">I", len(tracks) + 1))
-    return box("ftyp", b"iso5\0\0\0\0iso5iso6mp41") + box("moov", movie, *tracks, defaults)
+        tracks.append(_track(2, audio.sample_rate, b"soun", full_box("smhd", 0, 0, bytes(4)), aac_entry(audio), 0, 0, 0x100, audio_tables))
+    return tracks
 
 
 def is_fragmented(moov: bytes, samples: int) -> bool:
     """No samples in its tables, and a box that announces fragments."""
     return samples == 0 and any(path == "moov/mvex" for path, *_ in walk_all(moov))
+
+
+_PAIRS, _TRIPLES = "array<struct<a: long, b: long>>", "array<struct<a: long, b: long, c: long>>"
+MOVIE = (
+    f"n int, track_id long, handler string, timescale long, stts {_PAIRS}, ctts {_PAIRS}, stsc {_TRIPLES}, sizes array<long>, chunks array<long>, sync array<long>, "
+    "kind string, width long, height long, codec binary, sample_rate long, channels long, audio_config binary, sample_entry binary"
+)
+
+
+def _movie_rows(data: bytes) -> list[tuple]:
+    rows = []
+    for n, t in enumerate(track_tables(data)):
+        structs = lambda x: [dict(zip("abc", v, strict=False)) for v in x]
+        stsd: bytes = t["stsd"]
+        video, audio = video_entry(stsd) if t["handler"] == "vide" else None, aac(stsd[8:]) if t["handler"] == "soun" else None
+        entry = next((stsd[at : at + size] for _, at, _, size in walk(stsd, 8)), None) if t["handler"] == "soun" else None
+        facts = (video and video.kind, video and video.width, video and video.height, video and video.config, audio and audio.sample_rate, audio and audio.channels, audio and audio.config, entry)
+        rows.append((n, t["track_id"], t["handler"], t["timescale"], structs(t["stts"]), structs(t["ctts"]), structs(t["stsc"]), t["sizes"], t["chunks"], t["sync"], *facts))
+    return rows
+
+
+def movies(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key and, for each track of each movie in order (n): its id, handler, timescale, run-length tables and what its description says."""
+    return rows_of(files, key, content, MOVIE, _movie_rows)
+
+
+def chosen(tracks: DataFrame, *keys: str) -> DataFrame:
+    """The first track with video that can be read, and the first with audio, of each movie (role video or audio)."""
+    role = F.when((F.col("handler") == "vide") & F.col("kind").isNotNull(), "video").when((F.col("handler") == "soun") & F.col("sample_entry").isNotNull(), "audio")
+    named = tracks.withColumn("role", role).filter(F.col("role").isNotNull())
+    rest = [c for c in named.columns if c not in (*keys, "role")]
+    first = named.groupBy(*keys, "role").agg(F.min_by(F.struct(*rest), "n").alias("t"))
+    return first.select(*keys, "role", "t.*")
+
+
+def inspected(tracks: DataFrame, key: str) -> DataFrame:
+    """What a movie is, in a row: of its chosen video track and of its chosen audio track, if there is one; error where there is no video."""
+    own = chosen(tracks, key)
+    ticks = F.aggregate("stts", F.lit(0).cast("long"), lambda s, r: s + r["a"] * r["b"])
+    facts = own.select(key, "role", "width", "height", "timescale", F.size("sizes").cast("long").alias("n"), ticks.alias("ticks"), "channels", F.octet_length("audio_config").cast("long").alias("config"))
+    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    found = tracks.select(key).distinct().join(facts, key, "left").groupBy(key).agg(
+        of("video", "width").alias("width"), of("video", "height").alias("height"), of("video", "timescale").alias("timescale"), F.coalesce(of("video", "n"), F.lit(0)).alias("sample_count"),
+        (of("video", "ticks") / F.greatest(of("video", "timescale"), F.lit(1))).alias("duration"), F.max(F.coalesce(F.col("role") == "audio", F.lit(False))).alias("has_audio"),
+        F.coalesce(of("audio", "timescale"), F.lit(0)).alias("audio_timescale"), F.coalesce(of("audio", "n"), F.lit(0)).alias("audio_sample_count"),
+        F.coalesce(of("audio", "channels"), F.lit(0)).alias("audio_channels"), F.coalesce(of("audio", "config"), F.lit(0)).alias("audio_config_bytes"),
+    )
+    return found.withColumn("error", F.when(F.col("width").isNull(), "no_video").when(F.col("sample_count") == 0, "no_samples"))
