@@ -363,7 +363,7 @@ def storage_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def byte_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", checksums.crc32(F.col("text")).alias("crc32"), checksums.fletcher_of_long(F.col("text")).alias("fletcher"))
+    return d.select("doc_id", checksums.crc32(F.col("text")).alias("crc32"), checksums.fletcher(F.col("text")).alias("fletcher"))
 
 
 @query
@@ -473,9 +473,8 @@ def outputs_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 FRAGMENT = 64
 
 
-@query
-def parse_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of fragments packed from all samples of each track, with payloads of their sizes, read back."""
+def packed_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments packed from all samples of each track, with payloads of their sizes: file (track and fragment) and content."""
     columns = ("track", "sample_idx", "us", "duration", "is_sync", "size")
     all_samples = views.samples(spark, sf_dir).select(F.struct("track", F.floor(F.col("sample_idx") / FRAGMENT).cast("long").alias("fragment")).alias("file"), *columns)
 
@@ -489,5 +488,10 @@ def parse_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"file": [{"track": track, "fragment": first}], "content": [content]})
 
     # Fragments of a long track are spread over tasks.
-    packed = all_samples.repartition("file").groupBy("file").applyInPandas(pack, "file struct<track: long, fragment: long>, content binary")
-    return boxes.parse_boxes(packed, "file").select("file.*", "path", "depth", "offset", "size")
+    return all_samples.repartition("file").groupBy("file").applyInPandas(pack, "file struct<track: long, fragment: long>, content binary")
+
+
+@query
+def parse_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All boxes of the fragments."""
+    return boxes.parse_boxes(packed_fragments(spark, sf_dir), "file").select("file.*", "path", "depth", "offset", "size")
