@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from .shingles import BYTES, mix, powers
+from .shingles import BYTES, PIECE, mix, powers
 
 _U = np.uint64
 LENGTH, SPAN, GRAM = 400, 320, 16
@@ -63,6 +63,18 @@ class Runs(NamedTuple):
 
 
 def runs(texts: list[bytes]) -> Runs:
+    """The runs of texts; a long text goes in pieces, which cut a run of its in two at most at each of their ends."""
+    if max(map(len, texts), default=0) <= PIECE + LENGTH:
+        return _runs(texts)
+    found = []
+    for k, text in enumerate(texts):
+        for at in range(0, max(len(text) - LENGTH + 1, 1), PIECE):
+            r = _runs([text[at : at + PIECE + LENGTH - 1]])
+            found.append(Runs(r.text + k, r.first + at, r.last + at, r.anchor + at, r.sure, r.whole, r.other))
+    return Runs(*map(np.concatenate, zip(*found, strict=True)))
+
+
+def _runs(texts: list[bytes]) -> Runs:
     lengths = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(lengths) - lengths
     counts = np.maximum(lengths - LENGTH + 1, 0)

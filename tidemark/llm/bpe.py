@@ -9,7 +9,6 @@ has symbols over its whole width, so such words, alone, merge through a heap: sa
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 import json
 
@@ -159,7 +158,6 @@ class Merger:
         return out
 
 
-@functools.lru_cache(4)
 def rank_file(path: str) -> tuple[Merger, list[bytes]]:
     """The merger of a file of ranks, and the bytes of each id.
 
@@ -187,7 +185,6 @@ def printable_bytes() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-@functools.lru_cache(4)
 def merge_file(path: str) -> Merger:
     """The merger of a JSON vocabulary with a list of merges and an ending that marks a word's last symbol."""
     with open(path, encoding="utf-8") as file:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import rank_file
-from .common import CACHE_ENTRIES, map_texts
+from .common import CACHE_ENTRIES, held, map_texts
 from .words import byte_words, settled
 
 
@@ -58,9 +58,8 @@ class Encoder:
         return self.joined[np.arange(total) + np.repeat(self.starts[index] - ends + lengths, lengths)].tobytes()
 
 
-@functools.lru_cache(2)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    return held(("encoder", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode(df: DataFrame, text: str | Column, path: str, pattern: str, *keep: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,19 +14,71 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step works on; it bounds a worker's memory whatever the batch is.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
 #: Entries of a per-process cache of words; a full cache is emptied, which costs time and never changes a result.
 CACHE_ENTRIES = 150_000
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut df's lineage into the shared folder of spark.checkpoint.dir; a local folder only where that is unset."""
+    """Cut df's lineage into the shared folder of spark.checkpoint.dir.
+
+    Where that is unset, a folder of the driver's machine serves a local master only; on a cluster executors could not share it.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not folder:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The one vocabulary or model, with its caches, that a worker process holds; asking for another lets go of it.
+
+    Workers are reused from stage to stage, so that what each stage held would add up.
+    """
+    if key not in _held:
+        _held.clear()
+        shrink()
+        _held[key] = make()
+    return _held[key]
+
+
+@functools.lru_cache(1)
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def shrink() -> None:
+    """Hand freed memory of this worker process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def worker(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run for mapInArrow; at its end the process hands back the memory that its batches took."""
+
+    def bounded(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            shrink()
+
+    return bounded
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers find this package where the driver has it, unless they are told another place.
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -67,14 +120,24 @@ def map_texts(
     out = StructType([*kinds, *made.fields])
     arrow = to_arrow_schema(made)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for a, b, texts in slices(batch.column(len(names)), limit):
                 columns = function(texts)
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(columns[f.name], type=f.type) for f in arrow)], names=[*names, *(f.name for f in arrow)])
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(worker(run), out)
+
+
+#: Two digests of a row's text; equal texts have equal ones.
+T1, T2 = "__t1", "__t2"
+
+
+def keyed(df: DataFrame, text: str) -> DataFrame:
+    """df with T1 and T2 of its texts (null: empty)."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return df.withColumns({T1: F.xxhash64(F.lit(1), whole), T2: F.xxhash64(F.lit(2), whole)})
 
 
 def stable(*columns: Column, seed: int = 0) -> Column:
@@ -86,12 +149,12 @@ def filter_texts(df: DataFrame, text: str, function: Callable[[list[str]], objec
     """The rows of df for whose text (null: empty) function, given the texts of some rows, says true."""
     at = df.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for a, b, texts in slices(batch.column(at), limit):
                 yield batch.slice(a, b - a).filter(pa.array(function(texts), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(worker(run), df.schema)
 
 
 def append_texts(df: DataFrame, text: str, schema: str, function: Callable[[list[str]], dict[str, object]], limit: int = STEP_CHARS) -> DataFrame:
@@ -103,10 +166,10 @@ def append_texts(df: DataFrame, text: str, schema: str, function: Callable[[list
     made = df.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(made)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for a, b, texts in slices(batch.column(at), limit):
                 columns = function(texts)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array(columns[f.name], type=f.type) for f in arrow)], names=[*names, *(f.name for f in arrow)])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *made.fields]))
+    return df.mapInArrow(worker(run), StructType([*df.schema.fields, *made.fields]))

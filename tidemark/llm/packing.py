@@ -12,7 +12,6 @@ Null and empty texts are one piece, the end mark. Repeated rows are packed each.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import merge_file
-from .common import CACHE_ENTRIES, checkpoint, slices, stable
+from .common import CACHE_ENTRIES, checkpoint, held, slices, stable, worker
 from .token_count import special, words_of
 from .words import lower_words
 
@@ -56,9 +55,8 @@ class Ids:
         return b"".join(parts)
 
 
-@functools.lru_cache(2)
 def encoder(path: str) -> Ids:
-    return Ids(path)
+    return held(("ids", path), lambda: Ids(path))
 
 
 def pieces(df: DataFrame, path: str, end: int, size: int, key: str, text: str) -> DataFrame:
@@ -85,7 +83,7 @@ def pieces(df: DataFrame, path: str, end: int, size: int, key: str, text: str) -
                     names=[key, "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    return source.mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return source.mapInArrow(worker(run), f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def knapsack(value: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

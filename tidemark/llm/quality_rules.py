@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, append_texts, checkpoint, map_texts
+from .common import CACHE_ENTRIES, append_texts, checkpoint, held, map_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split() that doesn't end a word here.
@@ -129,9 +129,8 @@ def byte_level(path: str):  # noqa: ANN201
     return tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@functools.lru_cache(2)
 def pieces(path: str, second: str | None = None) -> Pieces:
-    return Pieces(path, second)
+    return held(("pieces", path, second), lambda: Pieces(path, second))
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +230,7 @@ def above_floors(measured: DataFrame, language: str, mark: str = "") -> DataFram
 def judge(df: DataFrame, path: str, *keep: str, text: str = "text", bands: dict[str, Band] = BANDS, second: str | None = None, language: str | None = None) -> DataFrame:
     """Columns keep, the counts, base_failed, kept and the fertility that kept rests on; without a column language, a script is one."""
     spoken = F.col(language) if language else F.lit(None)
-    found = map_texts(df, [*(F.col(k) for k in keep), spoken.cast("string").alias("__spoken")], F.col(text), SCHEMA, lambda texts: verdicts(texts, path, bands, second), 1_000_000)
+    found = map_texts(df, [*(F.col(k) for k in keep), spoken.cast("string").alias("__spoken")], F.col(text), SCHEMA, lambda texts: verdicts(texts, path, bands, second))
     return above_floors(checkpoint(found), "__spoken").drop("__spoken")
 
 
@@ -243,5 +242,5 @@ def without_rejected(df: DataFrame, path: str, text: str = "text", bands: dict[s
         return {f"__{k}": v for k, v in verdicts(texts, path, bands, second).items()}
 
     spoken = df.withColumn("__spoken", F.col(language).cast("string") if language else F.lit(None).cast("string"))
-    found = checkpoint(append_texts(spoken, text, schema, columns, 1_000_000).filter("__kept"))
+    found = checkpoint(append_texts(spoken, text, schema, columns).filter("__kept"))
     return above_floors(found, "__spoken", "__").filter("__kept").select(df.columns)

@@ -6,8 +6,13 @@ words in a row, and a text of fewer words is one shingle of all of them.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+#: Bytes of one text that are hashed in one step.
+PIECE = 1_000_000
+_SPACE = re.compile(rb"[ \t-\r]")
 _U = np.uint64
 _MULTIPLIER = 0xD6E8FEB86659FD93
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -26,17 +31,40 @@ _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier, and of its inverse, modulo 2**64."""
+    """Powers of the multiplier, and of its inverse, modulo 2**64; those of a usual step are kept."""
+    made = _powers
     if len(_powers[0]) < n:
-        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
+        made = []
+        for base in (_MULTIPLIER, _INVERSE):
             steps = np.full(n, base, _U)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+            made.append(np.multiply.accumulate(steps))
+        if n <= PIECE + PIECE // 2:
+            _powers[:] = made
+    return made[0][:n], made[1][:n]
+
+
+def pieces_of(text: bytes) -> list[bytes]:
+    """A text cut at white space into pieces of PIECE bytes, or as long as a word that is longer."""
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        space = _SPACE.search(text, at + PIECE)
+        if not space:
+            break
+        out.append(text[at : space.start()])
+        at = space.end()
+    return [*out, text[at:]] if out else [text]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, text by text, and the number of words in each text."""
+    """A hash of each word, text by text, and the number of words in each text; a long text goes piece by piece."""
+    if max(map(len, texts), default=0) <= PIECE:
+        return _word_hashes(texts)
+    found = [[_word_hashes([p]) for p in pieces_of(t)] for t in texts]
+    return np.concatenate([w for parts in found for w, _ in parts]), np.array([sum(len(w) for w, _ in parts) for parts in found], np.int64)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
     space = (joined == 32) | ((joined >= 9) & (joined <= 13))
     edges = np.diff(space.astype(np.int8), prepend=np.int8(1), append=np.int8(1))

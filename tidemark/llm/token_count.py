@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import re
 
 import numpy as np
@@ -19,14 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import merge_file
-from .common import CACHE_ENTRIES, map_texts
-from .words import _library, lower_words
+from .common import CACHE_ENTRIES, held, map_texts
+from .words import lower_words
 
 
 @functools.lru_cache(2)
 def special(path: str) -> tuple[re.Pattern[str], dict[str, int]]:
     """A pattern that splits a text at its special tokens, and their ids."""
-    added = {t.content: i for i, t in _library(path).get_added_tokens_decoder().items()}
+    with open(path, encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file).get("added_tokens") or ()}
     return re.compile("(" + "|".join(re.escape(a) for a in sorted(added, key=len, reverse=True)) + ")"), added
 
 
@@ -62,9 +64,8 @@ class Counter:
         return np.bincount(row, frequency * self.pieces[word], len(texts)).astype(np.int64) + np.array([n for _, n in split], np.int64)
 
 
-@functools.lru_cache(2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return held(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(df: DataFrame, path: str, limit: int = 2048, text: str = "text", *keep: str) -> DataFrame:

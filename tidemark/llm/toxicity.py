@@ -14,7 +14,6 @@ Null and empty texts are one window without words, whose score is the model's fo
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 from collections.abc import Callable
@@ -24,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, filter_texts, map_texts
+from .common import CACHE_ENTRIES, filter_texts, held, map_texts
 from .shingles import mix
 
 WINDOW, STRIDE = 32, 16
@@ -438,11 +437,10 @@ def train_on(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return train([r["text"] or "" for r in rows], [r["label"] for r in rows])
 
 
-@functools.lru_cache(1)
 def _scorer(token: bytes) -> Scorer:
     import pickle
 
-    return Scorer(pickle.loads(token))
+    return held(("scorer", token), lambda: Scorer(pickle.loads(token)))
 
 
 def score(df: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFrame:
@@ -456,7 +454,7 @@ def score(df: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFr
         found = _scorer(sent.value).scores(texts)
         return {"score": found, "predicted": (found >= 0.5).astype(np.int32)}
 
-    return map_texts(df, [F.col(k) for k in keep], F.col(text), "score double, predicted int", run, 1_000_000)
+    return map_texts(df, [F.col(k) for k in keep], F.col(text), "score double, predicted int", run)
 
 
 def without_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -464,4 +462,4 @@ def without_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     import pickle
 
     sent = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    return filter_texts(df, text, lambda texts: _scorer(sent.value).scores(texts) < 0.5, 1_000_000)
+    return filter_texts(df, text, lambda texts: _scorer(sent.value).scores(texts) < 0.5)
