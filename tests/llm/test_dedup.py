@@ -64,6 +64,20 @@ def test_repeated_strings(spark, documents, rng, monkeypatch, largest):
     assert [found[k] for k in range(len(texts))] == plain_removed(texts)
 
 
+def test_near_copies_of_one_passage_in_narrow_ranges(spark, rng, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LARGEST", 3)
+    base = [rng.choice("abcdefgh ") for _ in range(700)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            own[rng.randrange(len(own))] = rng.choice("xyz")
+        texts.append("".join(own)[rng.randrange(200) :])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digests(df).collect()}
+    assert [found[k] for k in range(len(texts))] == plain_removed(texts)
+
+
 def test_texts_without_repeats_keep_their_columns(spark):
     shared = "".join(random.Random(1).choice("abcdé ") for _ in range(600))
     df = spark.createDataFrame([(1, "x" + shared + "y", "k"), (2, shared, "k"), (2, shared, "k"), (None, None, None)], "doc_id long, text string, spans string")
@@ -125,12 +139,35 @@ def test_linked_sets_share_a_part():
 
 def test_one_of_each_group_stays(spark):
     text = "a b c d e f g h i j"
-    df = spark.createDataFrame([(3, text, 1), (2, text, 2), (2, text, 2), (7, "other words of a text here", 3), (8, None, 4), (None, text, 5)], "doc_id long, text string, n long")
+    df = spark.createDataFrame([(3, text, 1), (2, text, 2), (2, text, 2), (7, "other words of a text here", 3), (8, None, 4), (None, text, 5), (None, None, 6)], "doc_id long, text string, n long")
     found = sorted(((r["doc_id"], r["n"]) for r in ngram_join.keep_one(df).collect()), key=repr)
-    assert found == sorted([(2, 2), (7, 3), (8, 4), (None, 5)], key=repr)
+    # A row without an id is a copy like any other; a row without words never is one.
+    assert found == sorted([(2, 2), (7, 3), (8, 4), (None, 6)], key=repr)
     assert ngram_join.groups(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(spark):
+    a, b, c = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4"
+    rows = [(1, a, 1), (2, b, 2), (2, a + " k", 3), (2, c, 4), (2, c, 5), (None, c, 6), (None, "5 6 7 8 9 10", 7), (None, "5 6 7 8 9 10", 8), (3, "", 9), (3, None, 10)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, n long, component_id string, lead string").repartition(3)
+    found = ngram_join.keep_one(df)
+    assert found.columns == df.columns
+    kept = sorted(r["n"] for r in found.collect())
+    assert kept in ([1, 2, x, y, 9, 10] for x in (4, 5) for y in (7, 8))
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch, rng):
+    texts = [" ".join(rng.choice("abcdef") * rng.randint(1, 5) for _ in range(n)).encode() for n in (0, 3, 400, 50)] + [b"x" * 90 + b" y"]
+    whole = shingles.shingle_sets(texts, 3)
+    cut = anchors.runs([t * 3 for t in texts])
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, shingles.shingle_sets(texts, 3), strict=True))
+    monkeypatch.setattr(anchors, "PIECE", 150)
+    for text, k in ((t * 3, i) for i, t in enumerate(texts)):
+        starts = lambda r, n=k: {s: (a, h) for i, f, l, a, h in zip(r.text, r.first, r.last, r.anchor, r.sure, strict=True) if i == n for s in range(f, l + 1)}  # noqa: E731, E741
+        assert starts(anchors.runs([t * 3 for t in texts])) == starts(cut) and len(starts(cut)) == max(len(text) - anchors.LENGTH + 1, 0)
+
+
 def test_equal_sets_have_equal_digests(rng):
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(400)]
     keys = list(zip(*map(np.ndarray.tolist, shingles.set_keys(shingles.shingle_sets([t.encode() for t in texts], 3))), strict=True))
@@ -166,7 +203,7 @@ def plain_embeddings(rows, least):
 
 
 def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "INTERVAL", 7)
+    monkeypatch.setattr(embedding_dedup, "INTERVAL", 7 * 8)
     monkeypatch.setattr(embedding_dedup, "LEAF", 2)
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 8))

@@ -52,7 +52,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """large: what stands above a node goes to its least neighbour; else a node and what stands below it do."""
     both = links.union(links.select("b", "a")).toDF("u", "v") if large else links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    # Cut off from its aggregation, so that Spark can split the links of a node that has very many.
+    joined = both.join(checkpoint(least), "u")
     if large:
         moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -15,8 +15,8 @@ whose classes are still in several components, every pair across components whos
 not rule it out is verified; large parts are split in blocks for that. So no pair that could join two
 components is left unverified, and no part is paired out as a whole.
 
-Null, empty and blank texts have an empty set, 0 shingles, and link with nothing. Rows without an id link with nothing and
-have no component. Repeated rows give a row each, with the same component.
+Null, empty and blank texts have an empty set, 0 shingles, and link with nothing. In groups(), rows without an id link with
+nothing and have no component, and repeated rows give a row each, with the same component.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_texts, release, slices
+from .common import T1, T2, checkpoint, keyed, map_texts, release, slices, worker
 from .components import components
 from .shingles import mix, set_keys, shingle_sets
 
@@ -124,7 +124,7 @@ def part_rows(df: DataFrame, text: str, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, texts in slices(batch.column(0), 1_000_000):
+            for _, _, texts in slices(batch.column(0)):
                 sets = shingle_sets([t.encode("utf-8", "replace") for t in texts], width)
                 k1, _ = set_keys(sets)
                 keys = [part_keys(s, percent) for s in sets]
@@ -134,7 +134,7 @@ def part_rows(df: DataFrame, text: str, width: int, percent: int) -> DataFrame:
                 for at in range(0, len(joined), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(joined[at : at + 50_000]), pa.array(owner[at : at + 50_000])], names=["part", "k1"])
 
-    return source.mapInArrow(run, "part long, k1 long")
+    return source.mapInArrow(worker(run), "part long, k1 long")
 
 
 def set_rows(df: DataFrame, text: str, width: int) -> DataFrame:
@@ -172,7 +172,7 @@ def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             apart = [int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may_link(np.array(apart, np.int64), na + nb, percent)))
 
-    return near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+    return near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(worker(run), "a long, b long")
 
 
 def across(pairs_of: DataFrame, percent: int) -> DataFrame:
@@ -210,24 +210,24 @@ def across(pairs_of: DataFrame, percent: int) -> DataFrame:
     return spread.groupBy("part", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def link_classes(df: DataFrame, text: str, key: str, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def link_classes(df: DataFrame, text: str, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """k1 and component (another k1) of every class that links with another.
 
-    classes: k1 and the least id of each class. df: the table they are from.
+    classes: k1, and the id and T1 of a row of each class. df: the table they are from, with its id.
     """
-    parts = part_rows(df.filter(F.col(key).isNotNull()), text, width, percent)
+    parts = part_rows(df, text, width, percent)
     shared = checkpoint(parts.groupBy("part").count().filter(F.col("count") > 1).select("part"))
     release(df.sparkSession)
     members = checkpoint(parts.join(shared, "part").distinct())
     release(df.sparkSession)
     # Copies of one set have made some parts look shared.
     members = checkpoint(members.join(members.groupBy("part").count().filter(F.col("count") > 1).select("part"), "part"))
-    wanted = members.select("k1").distinct().join(classes, "k1").select(F.col("id").alias(key))
+    wanted = members.select("k1").distinct().join(classes, "k1").select(F.col("id").alias("__id"), F.col(T1).alias("__o1"))
     wanted = checkpoint(wanted.distinct())
     few = wanted.count() <= SENT_IDS
-    texts = df.select(key, text).join(F.broadcast(wanted) if few else wanted, key, "left_semi")
+    texts = keyed(df, text).join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col(T1) == F.col("__o1")), "left_semi")
     sets = checkpoint(set_rows(texts, text, width))
-    if sets.count() > wanted.count():  # ids that rows share
+    if sets.count() > wanted.count():  # rows that share id and text
         sets = checkpoint(sets.dropDuplicates(["k1"]))
     release(df.sparkSession)
 
@@ -257,28 +257,49 @@ def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
     return checkpoint(labelled.join(parts.filter(F.col("x") < F.col("y")).select("part"), "part"))
 
 
+def _grouped(df: DataFrame, key: str, text: str, width: int, percent: int, unnamed: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, digests of text and set, n) of df, and the component of each class of sets with its lead, the least row by id.
+
+    unnamed: whether rows without an id take part, after all others.
+    """
+    rows = checkpoint(with_sets(keyed(df.select(F.col(key), F.col(text)), text), [F.col(key).alias("id"), F.col(T1), F.col(T2)], text, width))
+    taking = rows.filter((F.col("n") > 0) & (F.lit(unnamed) | F.col("id").isNotNull()))
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", T1, T2)).alias("lead")
+    classes = taking.groupBy("k1", "k2", "n").agg(lead)
+    takes = F.lit(unnamed) | F.col("id").isNotNull()
+    linked = link_classes(df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(takes), "text", classes.select("k1", "lead.id", f"lead.{T1}"), width, percent)
+    labelled = classes.join(linked, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+    least = labelled.groupBy("component").agg(F.min("lead").alias("lead"))
+    return rows, labelled.drop("lead").join(least, "component").select("k1", "k2", "n", "lead")
+
+
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Columns key, n_shingles and component_id (the least id that links lead to, the row's own included)."""
-    rows = checkpoint(with_sets(df, [F.col(key)], text, width))
-    named = rows.filter(F.col(key).isNotNull() & (F.col("n") > 0))
-    classes = named.groupBy("k1", "k2", "n").agg(F.min(key).alias("id"))
-    linked = link_classes(df, text, key, classes.select("k1", "id"), width, percent)
-    labelled = classes.join(linked, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_class = labelled.join(least, "component").select("k1", "k2", "n", "component_id")
+    rows, of_class = _grouped(df, key, text, width, percent, False)
     joined = rows.join(of_class, ["k1", "k2", "n"], "left")
-    own = F.when(F.col(key).isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col(key))
-    return joined.select(key, F.col("n").alias("n_shingles"), own.alias("component_id"))
+    own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("lead.id")).otherwise(F.col("id"))
+    return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """df without the rows of a component except its least id's (one of them, if that id is repeated)."""
-    found = checkpoint(groups(df, key, text, width, percent).filter(F.col(key).isNotNull()))
-    dropped = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    repeated = found.groupBy(key).count().filter(F.col("count") > 1)
-    few = dropped.count() <= SENT_IDS
-    left = df.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
-    if repeated.isEmpty():
-        return left
-    single = left.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return single.union(left.filter(F.col(key).isNull()))
+    """df with one row of each component: that of the least id, and of the least digest of text where rows share that id.
+
+    Rows are told apart by id and text, so a row goes only if its own text links with the one that stays, whatever ids rows
+    share. Rows without an id take part after all others. Of rows with the same id and text one stays. Rows without words stay.
+    """
+    rows, of_class = _grouped(df, key, text, width, percent, True)
+    members = rows.filter(F.col("n") > 0).join(of_class, ["k1", "k2", "n"])
+    leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col(T1) == F.col(f"lead.{T1}")) & (F.col(T2) == F.col(f"lead.{T2}"))
+    identity = ("id", T1, T2)
+    dropped = checkpoint(members.filter(~leads).select(*identity).distinct())
+    repeated = checkpoint(members.filter(leads).groupBy(*identity).count().filter(F.col("count") > 1).select(*identity))
+
+    def told(other: DataFrame, how: str) -> DataFrame:
+        few, same = other.count() <= SENT_IDS, other.toDF("__id", "__o1", "__o2")
+        return own.join(F.broadcast(same) if few else same, F.col(key).eqNullSafe(F.col("__id")) & (F.col(T1) == F.col("__o1")) & (F.col(T2) == F.col("__o2")), how)
+
+    own = keyed(df, text)
+    own = told(dropped, "left_anti")
+    if not repeated.isEmpty():
+        own = told(repeated, "left_anti").union(told(repeated, "left_semi").dropDuplicates([key, T1, T2]))
+    return own.drop(T1, T2)
