@@ -11,8 +11,10 @@ A byte is removed if a string of LENGTH bytes that covers it also starts anywher
    array with a common prefix of LENGTH // BLOCK - 1 blocks are the starts that can repeat, up to less than a block
    at either end; an exact check of the whole strings of these settles the bytes at the ends.
 3. A hash that more than LARGEST distinct runs share would not fit a task. Its runs are cut into aligned ranges of
-   RANGE starts; ranges whose common bytes occur once are done, as are ranges that all hold the same bytes;
-   of the others, each string is counted by hash. These are aggregations by key, without groups in a task.
+   starts, which are grouped by the bytes that all strings of the range hold, so that equal strings still meet; ranges
+   whose group has one content are done, as are those that occur wholly twice. What is left goes to the suffix sort
+   as the runs do, by groups that fit; groups that still do not are cut to narrower ranges (RANGES). In
+   ranges of one start all contents of a group are equal, so every group comes to fit.
 
 All counts are over all texts, however large; texts are never cut. Null and empty texts have no bytes. Equality of
 strings is judged by 128 bits of hash (64 within the runs that agree at the anchor). Repeated rows repeat each other's bytes.
@@ -20,8 +22,8 @@ strings is judged by 128 bits of hash (64 within the runs that agree at the anch
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,25 +31,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import LENGTH, SPAN, prefix_sums, runs
-from .common import checkpoint, release, slices
+from .common import Batches, T1, T2, checkpoint, keyed, release, slices, worker
 from .shingles import mix
 from .suffix_array import suffix_array
 
 BLOCK = 16
 #: Distinct runs of one hash that a task sorts; of contents that it sorts at a time.
 LARGEST, AT_ONCE = 2000, 1500
-RANGE = 64
+#: Widths of ranges, in starts, to which groups that are too large are cut in turn.
+RANGES = (64, 16, 4, 1)
 #: Texts whose digests are sent to every executor to pick them; more are joined by a shuffle.
 SENT_KEYS = 300_000
 _U = np.uint64
 _WIDTH = -(-(SPAN + LENGTH) // BLOCK) * BLOCK + BLOCK
-T1, T2, SPANS = "__t1", "__t2", "__spans"
-
-
-def keyed(df: DataFrame, text: str) -> DataFrame:
-    """df with two digests of each text; equal texts have equal ones."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.withColumn(T1, F.xxhash64(F.lit(1), whole)).withColumn(T2, F.xxhash64(F.lit(2), whole))
+SPANS = "__spans"
 
 
 def _pack(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -57,7 +54,7 @@ def _pack(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray
 def run_rows(texts: DataFrame) -> DataFrame:
     """T1, T2, place (first start, length and anchor of the run), sure and whole, of each run of each text (column text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, _, strings in slices(batch.column(2)):
@@ -66,7 +63,7 @@ def run_rows(texts: DataFrame) -> DataFrame:
                 for at in range(0, len(r.text), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in columns], names=[T1, T2, "place", "sure", "whole"])
 
-    return texts.select(T1, T2, "text").mapInArrow(run, f"{T1} long, {T2} long, place long, sure long, whole long")
+    return texts.select(T1, T2, "text").mapInArrow(worker(run), f"{T1} long, {T2} long, place long, sure long, whole long")
 
 
 def _positions(place: Column) -> tuple[Column, Column]:
@@ -81,7 +78,7 @@ def cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     chosen = texts.join(F.broadcast(keys) if few else keys, [T1, T2], "left_semi").dropDuplicates([T1, T2])
     lists = wanted.groupBy(T1, T2).agg(F.collect_list(F.struct("sure", "place", "own")).alias("runs"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         names = [T1, T2, "sure", "place", "own", "bytes"]
         for batch in batches:
             for k in range(batch.num_rows):
@@ -100,7 +97,7 @@ def cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     )
 
     joined = chosen.select(T1, T2, "text").join(lists, [T1, T2])
-    return joined.mapInArrow(run, f"{T1} long, {T2} long, sure long, place long, own boolean, bytes binary")
+    return joined.mapInArrow(worker(run), f"{T1} long, {T2} long, sure long, place long, own boolean, bytes binary")
 
 
 def repeated_starts(group: np.ndarray, place: np.ndarray, contents: list[bytes]) -> list[np.ndarray]:
@@ -158,7 +155,7 @@ def _ranges(first: int, marks: np.ndarray) -> list[tuple[int, int]]:
 def sorted_out(contents: DataFrame) -> DataFrame:
     """T1, T2, low, high: ranges of starts of repeated strings, of runs with own set; contents in one task by sure."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         held: list[tuple] = []
 
         def settle() -> pa.RecordBatch:
@@ -177,48 +174,53 @@ def sorted_out(contents: DataFrame) -> DataFrame:
             yield settle()
 
     dealt = contents.repartition("sure").sortWithinPartitions("sure")
-    return dealt.mapInArrow(run, f"{T1} long, {T2} long, low long, high long")
+    return dealt.mapInArrow(worker(run), f"{T1} long, {T2} long, low long, high long")
 
 
-def counted_out(contents: DataFrame) -> DataFrame:
-    """The same for contents of hashes that too many share, by aggregations only."""
+def narrowed(contents: DataFrame, width: int) -> DataFrame:
+    """contents cut to aligned ranges of width starts; sure: of the bytes that all strings of a range hold, whole: of all its bytes."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for sure, place, own, content, t1, t2 in zip(*(batch.column(c).to_pylist() for c in ("sure", "place", "own", "bytes", T1, T2)), strict=True):
-                first, length, lead = place >> 18, (place >> 9 & 511) + 1, place & 511
-                begin = SPAN - lead
-                for t in range(begin // RANGE, (begin + length - 1) // RANGE + 1):
-                    low, high = max(t * RANGE, begin), min(t * RANGE + RANGE, begin + length)
-                    # Bytes of every string with a start in the aligned range, whether or not the run has all of these starts.
-                    core = content[t * RANGE + RANGE - 1 - begin : t * RANGE + LENGTH - begin]
-                    whole = content[low - begin : high - begin - 1 + LENGTH]
-                    tag = f"{sure},{t},".encode()
-                    digest = hashlib.blake2b(tag + core, digest_size=16).digest()
-                    out.append((digest, hashlib.blake2b(f"{low},{high},".encode() + whole, digest_size=16).digest(), t1, t2, first + low - begin, low, own, whole))
-            if out:
-                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                names = ["core", "whole", T1, T2, "start", "offset", "own", "bytes"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            out: list[tuple] = []
-            for core, t1, t2, start, offset, own, content in zip(*(batch.column(c).to_pylist() for c in ("core", T1, T2, "start", "offset", "own", "bytes")), strict=True):
-                for k in range(len(content) - LENGTH + 1):
-                    out.append((hashlib.blake2b(core + (offset + k).to_bytes(4, "little") + content[k : k + LENGTH], digest_size=16).digest(), t1, t2, start + k, own))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["string", T1, T2, "start", "own"])
-
-    pieces = checkpoint(contents.mapInArrow(cut, f"core binary, whole binary, {T1} long, {T2} long, start long, offset long, own boolean, bytes binary"))
-    several = pieces.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("x"), F.max("whole").alias("y")).filter(F.col("n") > 1)
-    shared = checkpoint(pieces.join(several, "core"))
-    equal = shared.filter((F.col("x") == F.col("y")) & F.col("own")).select(T1, T2, F.col("start").alias("low"), (F.col("start") + F.length("bytes") - LENGTH).alias("high"))
-    strings = shared.filter(F.col("x") != F.col("y")).select("core", T1, T2, "start", "offset", "own", "bytes").mapInArrow(each, f"string binary, {T1} long, {T2} long, start long, own boolean")
-    twice = strings.groupBy("string").count().filter(F.col("count") > 1).select("string")
-    single = strings.filter("own").join(twice, "string").select(T1, T2, F.col("start").alias("low"), F.col("start").alias("high"))
-    return equal.union(single)
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                out: list[tuple] = []
+                for t1, t2, sure, place, own, content in zip(*(part.column(c).to_pylist() for c in (T1, T2, "sure", "place", "own", "bytes")), strict=True):
+                    first, length, lead = place >> 18, (place >> 9 & 511) + 1, place & 511
+                    begin = SPAN - lead
+                    for t in range(begin // width, (begin + length - 1) // width + 1):
+                        low, high = max(t * width, begin), min(t * width + width, begin + length)
+                        # A string with a start in the range holds these bytes, whether or not the run has all of its starts.
+                        core = content[t * width + width - 1 - begin : t * width + LENGTH - begin]
+                        bytes_ = content[low - begin : high - begin - 1 + LENGTH]
+                        keys = (_digest(b"%d,%d," % (sure, t) + core), _digest(b"%d,%d," % (low, high) + bytes_))
+                        at = first + low - begin
+                        out.append((t1, t2, keys[0], at << 18 | (high - low - 1) << 9 | (first + lead - at), own, bytes_, keys[1]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES)
+
+    return contents.mapInArrow(worker(run), f"{T1} long, {T2} long, sure long, place long, own boolean, bytes binary, whole long")
+
+
+_NAMES = [T1, T2, "sure", "place", "own", "bytes", "whole"]
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())
+
+
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def settled(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Marks of the pieces that occur wholly twice; and what stays open: each other piece of a hash that several contents share, and one of each of these."""
+    found = pieces.groupBy("sure", "whole").agg(F.count("*").alias("n"), F.max("own").alias("asked"), F.min(F.struct(T1, T2, "place")).alias("at"))
+    found = checkpoint(found.withColumn("asked", F.col("asked") & (F.col("n") == 1)))
+    sizes = found.groupBy("sure").agg(F.count("*").alias("size"), F.max("asked").alias("open")).filter((F.col("size") > 1) & F.col("open"))
+    facts = checkpoint(found.join(sizes.select("sure", "size"), "sure", "left").filter((F.col("n") > 1) | F.col("size").isNotNull()).select("sure", "whole", "n", "at", "size"))
+    known = pieces.join(facts, ["sure", "whole"])
+    first, last = _positions(F.col("place"))
+    marks = known.filter((F.col("n") > 1) & F.col("own")).select(T1, T2, first.alias("low"), last.alias("high"))
+    left = known.filter(F.col("size").isNotNull() & (F.struct(T1, T2, "place") == F.col("at")))
+    return marks, left.select(T1, T2, "sure", "place", (F.col("own") & (F.col("n") == 1)).alias("own"), "bytes", (F.col("size") > LARGEST).alias("large"))
 
 
 def repeated(df: DataFrame, text: str) -> DataFrame:
@@ -236,23 +238,29 @@ def repeated(df: DataFrame, text: str) -> DataFrame:
     # Only hashes of which some content occurs once are open; the others serve them for comparison.
     open_ = distinct.join(sizes.filter(F.col("least") == 1), "sure")
     wanted = checkpoint(open_.select("at.*", "sure", (F.col("n") == 1).alias("own"), (F.col("size") > LARGEST).alias("large")))
-    usual = sorted_out(cut_out(texts, wanted.filter(~F.col("large"))))
-    many = wanted.filter("large")
     first, last = _positions(F.col("place"))
     once = distinct.filter(F.col("n") == 1).select("sure", "whole")
     whole = kept.filter(~F.col("mixed")).select(T1, T2, "place").union(kept.filter("mixed").join(once, ["sure", "whole"], "left_anti").select(T1, T2, "place"))
-    marks = whole.select(T1, T2, first.alias("low"), last.alias("high")).union(usual)
-    if not many.isEmpty():
-        marks = marks.union(counted_out(cut_out(texts, many)))
+    found = [whole.select(T1, T2, first.alias("low"), last.alias("high")), sorted_out(cut_out(texts, wanted.filter(~F.col("large"))))]
+    if not (many := wanted.filter("large")).isEmpty():
+        left = cut_out(texts, many)
+        for width in RANGES:
+            marks, rest = settled(checkpoint(narrowed(left, width)))
+            rest = checkpoint(rest)
+            found += [marks, sorted_out(rest.filter(~F.col("large")))]
+            left = rest.filter("large")
+            if left.isEmpty():
+                break
+    marks = functools.reduce(DataFrame.union, found)
     return marks.distinct().groupBy(T1, T2).agg(F.collect_list(F.struct("low", "high")).alias(SPANS))
 
 
-def removed(length: int, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Which bytes the strings that start in spans cover."""
-    change = np.zeros(length + 1, np.int64)
-    for low, high in spans:
-        change[low] += 1
-        change[high + LENGTH] -= 1
+def removed(length: int, spans: pa.ListScalar) -> np.ndarray:
+    """Which bytes the strings that start in spans (structs of low and high) cover."""
+    low, high = (c.to_numpy(zero_copy_only=False) for c in spans.values.flatten())
+    change = np.zeros(length + 1, np.int32)
+    np.add.at(change, low, 1)
+    np.add.at(change, high + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -265,24 +273,26 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """Columns key, n_bytes, n_removed, n_spans and kept_sha256 (of the bytes that are left, joined)."""
     marked = _marked(df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "text").select(key, "text", SPANS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
-            out = []
-            for whole, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                whole = whole.encode("utf-8", "replace")
-                gone, n, kept = 0, 0, whole
-                if spans:
-                    mask = removed(len(whole), [(s["low"], s["high"]) for s in spans])
-                    gone, n = int(mask.sum()), int((np.diff(mask.astype(np.int8), prepend=np.int8(0)) == 1).sum())
-                    kept = np.frombuffer(whole, np.uint8)[~mask].tobytes()
-                out.append((len(whole), gone, n, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            )
+            for a, b, texts in slices(batch.column(1)):
+                out = []
+                for text_, spans in zip(texts, batch.column(2).slice(a, b - a), strict=True):
+                    whole = text_.encode("utf-8", "replace")
+                    gone, n, kept = 0, 0, whole
+                    if spans.is_valid:
+                        mask = removed(len(whole), spans)
+                        gone, n = int(mask.sum()), int((np.diff(mask.astype(np.int8), prepend=np.int8(0)) == 1).sum())
+                        kept = np.frombuffer(whole, np.uint8)[~mask].tobytes()
+                    out.append((len(whole), gone, n, hashlib.sha256(kept).hexdigest()))
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                )
 
     kind = df.schema[key].dataType.simpleString()
-    return marked.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.mapInArrow(worker(run), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
@@ -291,15 +301,16 @@ def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     marked = _marked(df, text).select(*names, SPANS)
     at = names.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            out = []
-            for whole, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                if spans:
-                    whole = whole.encode("utf-8", "replace")
-                    whole = np.frombuffer(whole, np.uint8)[~removed(len(whole), [(s["low"], s["high"]) for s in spans])].tobytes().decode("utf-8", "ignore")
-                out.append(whole)
-            columns = [batch.column(c) if c != at else pa.array(out, batch.column(at).type) for c in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return marked.mapInArrow(run, df.schema)
+            for a, b, _ in slices(batch.column(at)):
+                part, out = batch.slice(a, b - a), []
+                for whole, spans in zip(part.column(at).to_pylist(), part.column(len(names)), strict=True):
+                    if spans.is_valid:
+                        data = whole.encode("utf-8", "replace")
+                        whole = np.frombuffer(data, np.uint8)[~removed(len(data), spans)].tobytes().decode("utf-8", "ignore")
+                    out.append(whole)
+                columns = [part.column(c) if c != at else pa.array(out, part.column(at).type) for c in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return marked.mapInArrow(worker(run), df.schema)
