@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -126,17 +127,19 @@ class Merger:
         """first: id of each byte; last: id of each byte where it ends a word; whole: words with an id of their own."""
         self.table, self.first, self.last, self.whole = table, first, last, whole or {}
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
+    def merged(self, words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Places of words, their ids as rows of a padded matrix, and the number of ids of each."""
         buckets: dict[int, list[int]] = {}
+        if known := [i for i, word in enumerate(words) if word in self.whole]:
+            yield known, np.array([[self.whole[words[i]]] for i in known], np.int32), np.ones(len(known), np.int64)
         for i, word in enumerate(words):
-            if (known := self.whole.get(word)) is not None:
-                out[i] = known.to_bytes(4, "little")
-            elif len(word) > LONG:
+            if word in self.whole:
+                continue
+            if len(word) > LONG:
                 ids = self.first[np.frombuffer(word, np.uint8)].tolist()
                 ids[-1] = int(self.last[word[-1]])
-                out[i] = np.array(merge_long(ids, self.table), "<u4").tobytes()
+                row = np.array([merge_long(ids, self.table)], np.int32)
+                yield [i], row, np.array([row.shape[1]])
             elif word:
                 buckets.setdefault(4 * ((len(word) + 3) // 4) if len(word) <= 32 else 1 << (len(word) - 1).bit_length(), []).append(i)
         for width, members in buckets.items():
@@ -148,13 +151,24 @@ class Merger:
                 matrix = self.first[raw]
                 ends = (np.arange(len(part)), lengths - 1)
                 matrix[ends] = self.last[raw[ends]]
-                matrix, lengths = merge_rows(matrix, lengths, self.table)
-                flat = matrix[np.arange(width)[None, :] < lengths[:, None]].astype("<u4").tobytes()
-                stops = np.cumsum(lengths * 4).tolist()
-                begin = 0
-                for i, stop in zip(part, stops, strict=True):
-                    out[i] = flat[begin:stop]
-                    begin = stop
+                yield part, *merge_rows(matrix, lengths, self.table)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
+        for part, matrix, lengths in self.merged(words):
+            flat = matrix[np.arange(matrix.shape[1])[None, :] < lengths[:, None]].astype("<u4").tobytes()
+            begin = 0
+            for i, stop in zip(part, np.cumsum(lengths * 4).tolist(), strict=True):
+                out[i] = flat[begin:stop]
+                begin = stop
+        return out
+
+    def count(self, words: list[bytes]) -> np.ndarray:
+        """The number of ids of each word."""
+        out = np.zeros(len(words), np.int64)
+        for part, _, lengths in self.merged(words):
+            out[part] = lengths
         return out
 
 

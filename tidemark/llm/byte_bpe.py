@@ -4,8 +4,8 @@ Texts are split by the vocabulary's pattern; the distinct words of a step that t
 merged as length-bucketed padded matrices (bpe.py); a text's ids are the joined ids of its words. The plan
 is one scan and one Arrow map: no shuffle, memory bounded by a step of text and by the cache of words.
 
-Null and empty texts have no ids (empty bytes). Repeated rows give a row each. A text with characters of
-scripts that Unicode versions class differently is encoded by the library itself.
+Null and empty texts have no ids (empty bytes). Repeated rows give a row each. A text with characters that Unicode
+versions class differently is split and merged like any other, and then held against the library itself.
 """
 
 from __future__ import annotations
@@ -39,14 +39,19 @@ class Encoder:
         return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks={t: i for i, t in enumerate(self.tokens) if t}, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [byte_words(t, self.pattern) if settled(t) else None for t in texts]
-        new = list(set().union(*(s for s in split if s is not None)).difference(self.cache))
+        split = [byte_words(t, self.pattern) for t in texts]
+        new = list(set().union(*split).difference(self.cache))
         if len(self.cache) + len(new) > CACHE_ENTRIES:
             self.cache.clear()
-            new = list(set().union(*(s for s in split if s is not None)))
+            new = list(set().union(*split))
         self.cache.update(zip(new, self.merger.encode([w.encode("utf-8", "replace") for w in new]), strict=True))
         of = self.cache.__getitem__
-        return [b"".join(map(of, s)) if s is not None else np.array(self.library.encode_ordinary(t), "<u4").tobytes() for t, s in zip(texts, split, strict=True)]
+        return [ids if settled(t) else self.held_against_library(t, ids) for t, ids in zip(texts, (b"".join(map(of, s)) for s in split), strict=True)]
+
+    def held_against_library(self, text: str, ids: bytes) -> bytes:
+        """ids, or the library's where its version of Unicode splits the text elsewhere."""
+        theirs = np.array(self.library.encode_ordinary(text), "<u4").tobytes()
+        return ids if ids == theirs else theirs
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for, gathered from the joined tokens."""

@@ -54,7 +54,7 @@ class Counter:
             self.index, self.pieces = {}, self.pieces[:0]
             new = list(set().union(*(s for s, _ in split)))
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.pieces = np.concatenate([self.pieces, np.array([len(x) // 4 for x in self.merger.encode([w.encode("utf-8", "replace") for w in new])], np.int64)])
+        self.pieces = np.concatenate([self.pieces, self.merger.count([w.encode("utf-8", "replace") for w in new])])
         lengths = np.array([len(s) for s, _ in split], np.int64)
         of = self.index.__getitem__
         words = np.fromiter(map(of, itertools.chain.from_iterable(s for s, _ in split)), np.int64, int(lengths.sum()))
