@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, embedding_dedup, html_extract, ngram_join, packing, quality_rules, suffix_dedup, token_count, toxicity, url_filter
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,4 +63,3 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_html_extract, op3_embedding_dedup, op4_suffix_dedup, op5_byte_bpe, op6_quality_rules, op7_url_filter, op8_token_counts, op9_packing, op10_ngram_jaccard)
 }
-ORACLE_SQL: dict[str, str] = {}
