@@ -3,7 +3,7 @@
 Vectors are scaled to length 1, where a cosine of at least `least` is a distance of at most epsilon. They are
 projected on the leading principal axes (fitted on a bounded sample; any axes give the same links, only slower),
 laid in a grid of cells as wide as epsilon, and sorted by group and cell. The sequence is cut into intervals of
-at most INTERVAL vectors. Two intervals are joined if their boxes come within epsilon; a join halves the larger
+at most INTERVAL numbers, as wide as they are stored. Two intervals are joined if their boxes come within epsilon; a join halves the larger
 interval again and again, drops halves whose boxes are farther apart than epsilon, and compares what is left
 by one product of matrices in double precision. Boxes of projections never are farther apart than vectors, so nothing
 within epsilon is lost.
@@ -24,13 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import checkpoint
+from .common import Batches, checkpoint, worker
 from .components import components, forest
 
-#: Leading principal axes of the grid, vectors they are fitted on at most, vectors of an interval.
-AXES, SAMPLE, INTERVAL = 6, 4096, 256
-LEAF = 32
+#: Leading principal axes of the grid, and vectors they are fitted on at most.
+AXES, SAMPLE = 6, 4096
+#: Numbers that the vectors of an interval hold together. Pairs of intervals are what is shuffled: the longer they are, the fewer.
+INTERVAL = 1 << 17
+#: Vectors of a part that is compared without being halved again.
+LEAF = 128
 
 
 def sound(vector: str) -> F.Column:
@@ -47,7 +51,11 @@ def axes_of(vectors: np.ndarray) -> np.ndarray:
 
 
 def units(batch: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
-    rows = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return scaled(batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size))
+
+
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1."""
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # lest squares overflow or vanish
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
@@ -92,15 +100,16 @@ def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vec
     sample = classes.orderBy(F.xxhash64("class"), "k1").limit(SAMPLE).select("v", "size").toPandas()
     size = int(sample["size"].mode().iloc[0]) if len(sample) else 1
     picked = np.stack(sample["v"][sample["size"] == size].to_list()) if len(sample) else np.ones((1, 1))
-    picked = picked / np.abs(picked).max(axis=1, keepdims=True)
-    axes = axes_of(picked / np.sqrt((picked * picked).sum(axis=1, keepdims=True)))
+    axes = axes_of(scaled(picked))
+    # Numbers that were stored in 32 bits are sent in 32 bits; all products are of 64.
+    stored = np.dtype("<f4" if df.schema[vector].dataType == ArrayType(FloatType(), df.schema[vector].dataType.containsNull) else "<f8")
 
     def projected(unit: np.ndarray) -> np.ndarray:
         return unit @ axes if unit.shape[1] == size else unit[:, : min(AXES, unit.shape[1])]
 
     kind = classes.schema["g"].dataType.simpleString()
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Batches) -> Batches:
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             for n in np.unique(sizes):
@@ -108,26 +117,24 @@ def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vec
                 cell = np.floor(projected(units(part.column("v"), int(n))) / epsilon).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("g", "class", "n", "size", "v")), pa.array(list(cell), pa.list_(pa.int64()))], names=["g", "class", "n", "size", "v", "cell"])
 
-    in_grid = classes.mapInArrow(cells, f"g {kind}, class long, n long, size int, v array<double>, cell array<long>")
+    in_grid = classes.mapInArrow(worker(cells), f"g {kind}, class long, n long, size int, v array<double>, cell array<long>")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("g", "size", "cell", "class")
     sequence = in_grid.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.spark_partition_id().cast("long"))
 
-    def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def intervals(batches: Batches) -> Batches:
         held: list[tuple] = []
         number = 0
 
         def made() -> pa.RecordBatch:
             nonlocal number
             number += 1
-            unit = np.array([h[4] for h in held], np.float64)
-            unit = unit / np.abs(unit).max(axis=1, keepdims=True)
-            unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-            p = projected(unit)
+            rows = np.array([h[4] for h in held], np.float64)
+            p = projected(scaled(rows))
             columns = [[held[0][0]], [held[0][3]], [held[0][5] << 32 | number], [p.min(axis=0).tolist()], [p.max(axis=0).tolist()]]
-            columns += [[np.array([h[k] for h in held], np.int64).tobytes()] for k in (1, 2)] + [[unit.tobytes()]]
+            columns += [[np.array([h[k] for h in held], np.int64).tobytes()] for k in (1, 2)] + [[rows.astype(stored).tobytes()]]
             kinds = (group_kind, pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["g", "size", "interval", "low", "high", "ids", "counts", "units"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["g", "size", "interval", "low", "high", "ids", "counts", "numbers"])
 
         group_kind = None
         for batch in batches:
@@ -135,14 +142,14 @@ def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vec
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 for row in zip(*(part.column(c).to_pylist() for c in ("g", "class", "n", "size", "v", "at")), strict=True):
-                    if held and (len(held) == INTERVAL or held[-1][0] != row[0] or held[-1][3] != row[3]):
+                    if held and (len(held) >= INTERVAL // max(held[0][3], 1) or held[-1][0] != row[0] or held[-1][3] != row[3]):
                         yield made()
                         held.clear()
                     held.append(row)
         if held:
             yield made()
 
-    blocks = checkpoint(sequence.mapInArrow(intervals, f"g {kind}, size int, interval long, low array<double>, high array<double>, ids binary, counts binary, units binary"))
+    blocks = checkpoint(sequence.mapInArrow(worker(intervals), f"g {kind}, size int, interval long, low array<double>, high array<double>, ids binary, counts binary, numbers binary"))
     # Intervals meet if a cell of the first axis, or one beside it, is in both and their boxes are near.
     first = lambda c, by: (F.floor(F.element_at(c, 1) / epsilon) + by).cast("long")
     span = blocks.select("g", "size", "interval", "low", "high")
@@ -151,13 +158,13 @@ def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vec
     gaps = F.zip_with(F.zip_with("low_i", "high_j", lambda a, b: a - b), F.zip_with("low_j", "high_i", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     distance = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)
     near = left.join(right, ["g", "size", "c"]).filter((F.col("i") <= F.col("j")) & (distance <= epsilon * epsilon)).select("i", "j").distinct()
-    data = blocks.select("interval", "size", "ids", "counts", "units")
+    data = blocks.select("interval", "size", "ids", "counts", "numbers")
     sides = near.select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("interval")).join(data, "interval")
 
     def join(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["interval"])
-        ids, counts, unit = ([np.frombuffer(r[c], k) for r in rows] for c, k in (("ids", np.int64), ("counts", np.int64), ("units", np.float64)))
-        unit = [u.reshape(len(i), -1) for u, i in zip(unit, ids, strict=True)]
+        ids, counts, unit = ([np.frombuffer(r[c], k) for r in rows] for c, k in (("ids", np.int64), ("counts", np.int64), ("numbers", stored)))
+        unit = [scaled(u.astype(np.float64).reshape(len(i), -1)) for u, i in zip(unit, ids, strict=True)]
         same = len(rows) == 1
         links = [np.zeros(len(i), np.int64) for i in ids]
         a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
