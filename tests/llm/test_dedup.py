@@ -60,7 +60,9 @@ def test_repeated_strings(spark, documents, rng, monkeypatch, largest):
     monkeypatch.setattr(suffix_dedup, "LARGEST", largest)
     texts = passages(rng) + [r["text"] for r in documents.orderBy("doc_id").limit(40).collect()]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    found = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digests(df).collect()}
+    rows = suffix_dedup.digests(df).collect()
+    found = {r["doc_id"]: tuple(r)[1:5] for r in rows}
+    assert all(r["touched"] == (r["n_removed"] > 0) for r in rows)
     assert [found[k] for k in range(len(texts))] == plain_removed(texts)
 
 
@@ -74,7 +76,9 @@ def test_near_copies_of_one_passage_in_narrow_ranges(spark, rng, monkeypatch):
             own[rng.randrange(len(own))] = rng.choice("xyz")
         texts.append("".join(own)[rng.randrange(200) :])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    found = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digests(df).collect()}
+    rows = suffix_dedup.digests(df).collect()
+    found = {r["doc_id"]: tuple(r)[1:5] for r in rows}
+    assert all(r["touched"] == (r["n_removed"] > 0) for r in rows)
     assert [found[k] for k in range(len(texts))] == plain_removed(texts)
 
 

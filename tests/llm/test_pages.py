@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -44,9 +45,37 @@ def test_common_lines_are_longest(rng):
         assert len(left) == len(right) == plain_length(a, b) and [a[i] for i in sorted(left)] == [b[i] for i in sorted(right)]
 
 
-def test_common_lines_of_huge_pages(monkeypatch):
-    monkeypatch.setattr(html_extract, "CELLS", 0)
-    assert html_extract.common_lines(list("axbyc"), list("zaybwc")) == ({0, 2, 4}, {1, 3, 5}) or html_extract.common_lines(list("axbyc"), list("zaybwc"))[0] >= {0, 4}
+def test_common_lines_of_huge_pages(monkeypatch, rng):
+    monkeypatch.setattr(html_extract, "CELLS", 4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 20))] for _ in range(2))
+        left, right = html_extract.common_lines(a, b)
+        assert len(left) == len(right) == plain_length(a, b) and [a[i] for i in sorted(left)] == [b[i] for i in sorted(right)]
+
+
+def test_what_an_article_holds_is_text():
+    page = '<article><div class="search-results"><p>a</p></div><div class="related">b</div><math><mi>x</mi></math><p title="' + "v" * 5000 + '>">c</p><div class="comments">no</div></article>'
+    assert html_extract.text_of(html_extract.lines_of(page), set()) == "a\n\nb\n\nx\n\nc"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "</span>" * 50_000, "<b class=ad>" * 30_000, '<a "' * 20_000, "<!" * 50_000, "<script>" * 20_000, "<article><p>" + "word " * 200_000 + "</article>"])
+def test_long_pages_take_no_time(page):
+    began = time.perf_counter()
+    html_extract.lines_of(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_ranges_do_not_change_a_result(spark):
+    rows = [(k, f"http://h{k % 3}.example/a/{k:03}", f"<div>Menu {k % 3}</div><div>Own {k}</div>") for k in range(60)] + [(5, None, "<p>x"), (None, "http://h1.example/a/010", "<div>Menu 1</div><div>y</div>"), (None, None, None)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, host string, text string").repartition(4)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("1", "7", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append(sorted(map(tuple, html_extract.extract(df).collect()), key=repr))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    assert all(r[2] == f"Own {r[0]}" for r in found[0] if r[2].startswith("Own"))
+    assert html_extract.extract(df.limit(0)).count() == 0
 
 
 def test_neighbours_lose_what_they_share(spark):

@@ -9,48 +9,57 @@ two URLs carry, so structure takes part: lines inside an article (or main) eleme
 if a page has such an element, only lines inside it are text; lines in elements that hold navigation, adverts,
 forms, notices or reader comments never are text.
 
-Pages are dealt by ranges of (host, path), so a host of any size is spread over tasks, and each task streams
-through its range holding three pages. A page at the edge of a range has only one neighbour to choose from.
-Null or empty pages give an empty text. Repeated rows give a row each.
+Pages are dealt by ranges of (host, path, key), so a host of any size is spread over tasks, and each task streams
+through its range holding three pages; the pages at the ends of a range also go to the range beside it, as neighbours only.
+Null or empty pages give an empty text. Repeated rows give a row each. Rows without an id or url sort first. Columns
+beyond key, url and page are left out, so their names don't matter.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Batches, worker
 from .url_filter import host_of, path_of
 
-#: Pairs of pages with more cells than this in their alignment align only lines that occur once in each.
+#: Cells (lines of one page times lines of the other) that an alignment holds bits for; larger ones are halved.
 CELLS = 100_000_000
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title".split())
+RAW = frozenset("script style noscript template textarea iframe title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td "
     "tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("nav footer aside form button select menu dialog head noscript template iframe svg canvas object embed audio video".split())
+DROPPED = frozenset("nav footer aside form button select menu dialog head noscript template iframe canvas object embed audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "newsletter subscribe subscription signup popup modal overlay sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer comment comments reply replies disqus share sharing social related recommended pagination pager widget toolbar skip copyright login search".split()
 )
+#: Of these, the names that also mark what stands within an article and isn't of it.
+WITHIN = frozenset(
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices newsletter subscribe "
+    "sidebar sidebars nav navbar navigation breadcrumb breadcrumbs comment comments reply replies disqus share sharing".split()
+)
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = frozenset("ul ol dl table article main section".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -61,12 +70,14 @@ class Lines(NamedTuple):
     kinds: list[int]
 
 
-def _unwanted(attributes: str) -> bool:
+def _unwanted(attributes: str, inside: bool) -> bool:
+    """If class, id, role or hiding say that an element isn't text; within an article, fewer names do."""
+    names = WITHIN if inside else NAMES
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and any(part in NAMES for part in _PART.findall(value)):
+        if name in ("class", "id") and any(part in names for part in _PART.findall(value)):
             return True
     return False
 
@@ -76,7 +87,20 @@ def lines_of(page: str) -> Lines:
     out, kinds = [], []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, if it or one around it is unwanted, if inside an article
+    open_blocks: Counter[str] = Counter()
     at, n = 0, len(page)
+    ends: dict[str, int] = {}
+
+    def end_of(name: str, after: int) -> re.Match[str] | None:
+        """The next end tag of name; its last place is looked up once, so that what is never closed is not searched for again."""
+        tag = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I)
+        if name not in ends:
+            ends[name] = max((m.start() for m in tag.finditer(page)), default=-1)
+        return tag.search(page, after) if ends[name] >= after else None
+
+    def close(k: int) -> None:
+        open_blocks.subtract(x[0] for x in stack[k:])
+        del stack[k:]
 
     def flush() -> None:
         if text and (line := " ".join("".join(text).split())):
@@ -99,18 +123,13 @@ def lines_of(page: str) -> Lines:
         if tag[1] or tag[4]:
             if name in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK and k < len(stack):
-                        del stack[k:]
-                    elif not any(x[0] in BLOCK for x in stack[k + 1 :]):
-                        del stack[k:]
-                    break
+                if open_blocks[name] > 0:
+                    close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         attributes = tag[3] or tag[6] or ""
         if name in RAW:
             if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                end = end_of(name, at)
                 at = end.end() if end else n
             continue
         if name == "br":
@@ -118,80 +137,87 @@ def lines_of(page: str) -> Lines:
             continue
         if name in BLOCK:
             flush()
-            if name == "body" or name in ("article", "main") and any(x[1] and not re.search(rf"</{re.escape(x[0])}\b", page[at:], re.I) for x in stack):
-                stack.clear()  # an unwanted element that is never closed doesn't reach into these
-            elif closed := CLOSED_BY.get(name):
+            if name == "body" or name in ("article", "main") and stack and stack[-1][1] and any(x[1] and not end_of(x[0], at) for x in stack):
+                close(0)  # an unwanted element that is never closed doesn't reach into these
+            elif (closed := CLOSED_BY.get(name)) and any(open_blocks[c] > 0 for c in closed):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in closed:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] in WALLS:
                         break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+            if stack and stack[-1][0] == "p":
+                close(len(stack) - 1)
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCK:
             continue
         _, bad, inside = stack[-1] if stack else ("", False, False)
-        bad = bad or name in DROPPED or name == "header" and not inside or name not in ("body", "html") and bool(attributes.strip()) and _unwanted(attributes)
+        bad = bad or name in DROPPED or name == "header" and not inside or name not in ("body", "html") and bool(attributes.strip()) and _unwanted(attributes, inside)
         inside = inside or name in ("article", "main")
         if name in BLOCK:
             stack.append((name, bad, inside))
+            open_blocks[name] += 1
         elif bad and not (stack and stack[-1][1]):  # inline elements matter only where they begin something unwanted
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            end = end_of(name, at)
             at = end.end() if end else at
     flush()
     return Lines(out, kinds)
 
 
+def _rows(x: list[str], y: list[str]) -> Iterator[int]:
+    """For each line of x, the set of places of y (as bits) where the longest common subsequence with y so far doesn't grow."""
+    where: dict[str, int] = {}
+    for k, line in enumerate(y):
+        where[line] = where.get(line, 0) | 1 << k
+    row = full = (1 << len(y)) - 1
+    for line in x:
+        match = row & where.get(line, 0)
+        row = ((row + match) | (row & ~where.get(line, 0))) & full
+        yield row
+
+
+def _lengths(x: list[str], y: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of x and every beginning of y."""
+    row = (1 << len(y)) - 1
+    for row in _rows(x, y):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
 def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
-    """Places of a longest common subsequence of two lists of lines."""
-    start, stop = 0, 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    while stop < min(len(a), len(b)) - start and a[-1 - stop] == b[-1 - stop]:
-        stop += 1
-    left, right = {*range(start), *range(len(a) - stop, len(a))}, {*range(start), *range(len(b) - stop, len(b))}
-    x, y = a[start : len(a) - stop], b[start : len(b) - stop]
-    if not x or not y or not set(x) & set(y):
-        return left, right
-    if len(x) * len(y) <= CELLS:
-        # Bit-parallel: a row is the set of columns of y where the length doesn't grow.
-        where: dict[str, int] = {}
-        for k, line in enumerate(y):
-            where[line] = where.get(line, 0) | 1 << k
-        full, row, rows = (1 << len(y)) - 1, (1 << len(y)) - 1, []
-        for line in x:
-            match = row & where.get(line, 0)
-            row = ((row + match) | (row & ~where.get(line, 0))) & full
-            rows.append(row)
-        i, j = len(x) - 1, len(y) - 1
-        while i >= 0 and j >= 0:
-            if rows[i] >> j & 1:  # column j doesn't count in row i
-                j -= 1
-            elif i and not rows[i - 1] >> j & 1:
-                i -= 1
+    """Places of a longest common subsequence of two lists of lines; long lists are halved, so that memory stays bounded."""
+    left: set[int] = set()
+    right: set[int] = set()
+    pending = [(0, len(a), 0, len(b))]
+    while pending:
+        i, end, j, stop = pending.pop()
+        while i < end and j < stop and a[i] == b[j]:
+            left.add(i)
+            right.add(j)
+            i, j = i + 1, j + 1
+        while i < end and j < stop and a[end - 1] == b[stop - 1]:
+            end, stop = end - 1, stop - 1
+            left.add(end)
+            right.add(stop)
+        x, y = a[i:end], b[j:stop]
+        if not x or not y or not set(x) & set(y):
+            continue
+        if len(x) > 1 and len(x) * len(y) > CELLS:
+            half = len(x) // 2
+            cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+            pending += [(i, i + half, j, j + cut), (i + half, end, j + cut, stop)]
+            continue
+        rows = list(_rows(x, y))
+        p, q = len(x) - 1, len(y) - 1
+        while p >= 0 and q >= 0:
+            if rows[p] >> q & 1:  # place q doesn't count in row p
+                q -= 1
+            elif p and not rows[p - 1] >> q & 1:
+                p -= 1
             else:
-                left.add(start + i)
-                right.add(start + j)
-                i, j = i - 1, j - 1
-        return left, right
-    once = {line: k for k, line in enumerate(y)}
-    counts_x, counts_y = Counter(x), Counter(y)
-    pairs = [(i, once[line]) for i, line in enumerate(x) if counts_x[line] == counts_y[line] == 1]
-    tails, back, heads = [], [-1] * len(pairs), []
-    for k, (_, j) in enumerate(pairs):
-        p = bisect_left(tails, j)
-        back[k] = heads[p - 1] if p else -1
-        tails[p : p + 1], heads[p : p + 1] = [j], [k]
-    k = heads[-1] if heads else -1
-    while k >= 0:
-        left.add(start + pairs[k][0])
-        right.add(start + pairs[k][1])
-        k = back[k]
+                left.add(i + p)
+                right.add(j + q)
+                p, q = p - 1, q - 1
     return left, right
 
 
@@ -211,47 +237,77 @@ def text_of(page: Lines, shared: set[int]) -> str:
     return "\n\n".join(line for k, line in enumerate(page.lines) if page.kinds[k] == 1 or not guarded and page.kinds[k] == 0 and k not in shared)
 
 
-def extract(df: DataFrame, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """Columns key, url, text, n_chars, n_lines and n_shared (lines that the nearest page has too).
+def dealt(source: DataFrame) -> DataFrame:
+    """source (key, host, path and more) by ranges of (host, path, key), sorted, with own: false for rows of a neighbouring range.
 
-    Pages are dealt before they are parsed, as Spark reads what it deals by ranges twice, to find the ranges.
+    A range also gets the last row of the range before it and the first of the one after it, so that the neighbours of
+    every page are there. The ranges are found by the keys alone; their ends are two keys for each range.
     """
-    address = F.coalesce(F.col(url).cast("string"), F.lit(""))
-    source = df.select(F.col(key), F.col(url), host_of(address).alias("host"), path_of(address).alias("path"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
-    kinds = {c: t for c, t in source.dtypes}
+    spark = source.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.struct("host", "path", F.col("key").isNotNull().alias("named"), "key").alias("at")]
+    spread = source.select(*order).repartitionByRange(parts, "at").groupBy(F.spark_partition_id().alias("part")).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    plain = lambda at: (at["host"], at["path"], at["named"], at["key"] if at["named"] else 0)
+    ends = sorted((plain(r["low"]), plain(r["high"])) for r in spread.collect())
+    lows, highs = [x for x, _ in ends], [y for _, y in ends]
+
+    @F.pandas_udf("array<int>")
+    def places(host: pd.Series, path: pd.Series, key: pd.Series) -> pd.Series:
+        """The ranges that get a row: its own comes first."""
+        out = []
+        for h, p, k in zip(host, path, key, strict=True):
+            at = (h, p, not pd.isna(k), 0 if pd.isna(k) else k)
+            own = max(bisect_right(lows, at) - 1, 0)
+            out.append([own, *([own - 1] if own and at == lows[own] else []), *([own + 1] if own + 1 < len(lows) and at == highs[own] else [])])
+        return pd.Series(out)
+
+    placed = source.withColumn("places", places("host", "path", "key")).select("*", F.posexplode("places").alias("n", "part"))
+    by_range = placed.withColumn("own", F.col("n") == 0).drop("places", "n").repartitionById(max(len(ends), 1), "part")
+    return by_range.sortWithinPartitions("part", "host", "path", F.col("key").isNotNull(), "key")
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # up to three pages of one host: the one before, the one in question, the one after
 
-        def made(k: int) -> tuple:
-            shared = difference([x[3] for x in held], [x[2] for x in held], k)
-            text = text_of(held[k][3], shared)
-            return held[k][0], held[k][4], text, len(text), len(held[k][3].lines), len(shared)
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[key, url, "text", "n_chars", "n_lines", "n_shared"])
+def extract(df: DataFrame, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+    """Columns key, url, text, n_chars, n_lines and n_shared (lines that the nearest page has too)."""
+    address = F.coalesce(F.col(url).cast("string"), F.lit(""))
+    source = df.select(F.col(key).alias("key"), F.col(url).alias("url"), host_of(address).alias("host"), path_of(address).alias("path"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
+    kinds = dict(source.dtypes)
+    order = ("key", "url", "host", "path", "html", "part", "own")
 
+    def pair(batches: Batches) -> Batches:
+        held: list[tuple] = []  # up to three pages of one host and range: the one before, the one in question, the one after
         done: list[tuple] = []
         types: list[pa.DataType] = []
+
+        def finish(k: int) -> None:
+            id_, address_, _, path, lines, own = held[k]
+            if own:
+                shared = difference([x[4] for x in held], [x[3] for x in held], k)
+                text = text_of(lines, shared)
+                done.append((id_, address_, text, len(text), len(lines.lines), len(shared)))
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [pa.array(x, t) for x, t in zip(zip(*done, strict=True), types, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[key, url, "text", "n_chars", "n_lines", "n_shared"])
+
         for batch in batches:
-            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            types = [batch.column(c).type for c in ("key", "url")] + [pa.string(), pa.int64(), pa.int64(), pa.int64()]
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                for k, address_, host, path, page_ in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-                    if held and held[-1][1] != host:
-                        done.append(made(len(held) - 1))
+                for id_, address_, host, path, page_, place, own in zip(*(part.column(c).to_pylist() for c in order), strict=True):
+                    if held and held[-1][2] != (host, place):
+                        finish(len(held) - 1)
                         held.clear()
-                    held.append((k, host, path, lines_of(page_), address_))
+                    held.append((id_, address_, (host, place), path, lines_of(page_), own))
                     if len(held) > 1:
-                        done.append(made(len(held) - 2))
+                        finish(len(held) - 2)
                     del held[:-2]
                 if done:
-                    yield batch_of(done)
-                    done = []
+                    yield batch_of()
         if held:
-            yield batch_of([made(len(held) - 1)])
+            finish(len(held) - 1)
+        if done:
+            yield batch_of()
 
-    first = f"`{key}` {kinds[key]}, `{url}` {kinds[url]}"
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = source.repartitionByRange(parts, "host", "path", key).sortWithinPartitions("host", "path", key)
-    return dealt.mapInArrow(pair, f"{first}, text string, n_chars long, n_lines long, n_shared long")
+    schema = f"`{key}` {kinds['key']}, `{url}` {kinds['url']}, text string, n_chars long, n_lines long, n_shared long"
+    return dealt(source).select(*order).mapInArrow(worker(pair), schema)

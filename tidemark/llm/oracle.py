@@ -24,6 +24,6 @@ STRINGS = """WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM
  b AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS first FROM t), o AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b),
  r AS (SELECT doc_id, span, min(i) AS low, max(i) + 400 AS high FROM o GROUP BY ALL), f AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM r),
  x AS (SELECT doc_id, count(*) AS n, CAST(sum(high - low) AS BIGINT) AS gone, max(high) AS last, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (low - before) AS BIGINT)), '' ORDER BY low) AS kept FROM f JOIN d USING (doc_id) GROUP BY doc_id)
- SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256 FROM d LEFT JOIN x ON x.doc_id = d.doc_id"""
+ SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256, n IS NOT NULL AS touched FROM d LEFT JOIN x ON x.doc_id = d.doc_id"""
 
 ORACLE_SQL = {"op3_embedding_dedup": EMBEDDINGS, "op4_suffix_dedup": STRINGS, "op10_ngram_jaccard": SHINGLES}

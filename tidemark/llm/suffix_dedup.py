@@ -270,11 +270,11 @@ def _marked(df: DataFrame, text: str) -> DataFrame:
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns key, n_bytes, n_removed, n_spans and kept_sha256 (of the bytes that are left, joined)."""
+    """Columns key, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left, joined) and touched (if any byte is removed)."""
     marked = _marked(df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "text").select(key, "text", SPANS)
 
     def run(batches: Batches) -> Batches:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
         for batch in batches:
             for a, b, texts in slices(batch.column(1)):
                 out = []
@@ -285,14 +285,14 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                         mask = removed(len(whole), spans)
                         gone, n = int(mask.sum()), int((np.diff(mask.astype(np.int8), prepend=np.int8(0)) == 1).sum())
                         kept = np.frombuffer(whole, np.uint8)[~mask].tobytes()
-                    out.append((len(whole), gone, n, hashlib.sha256(kept).hexdigest()))
+                    out.append((len(whole), gone, n, hashlib.sha256(kept).hexdigest(), gone > 0))
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                    [batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "touched"]
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return marked.mapInArrow(worker(run), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.mapInArrow(worker(run), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, touched boolean")
 
 
 def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
