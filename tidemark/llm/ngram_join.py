@@ -178,20 +178,18 @@ def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def across(pairs_of: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) across components within parts, less those that the sketches rule out.
 
-    pairs_of: part, k1, component, n, sketch, the class's lower parts, and the number of rows of the part (members).
-    A pair that shares several parts is made in the least of them only.
+    pairs_of: part, k1, component, n, sketch, and the number of rows of the part (members).
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("k1"), blocks).cast("int")
     # A block meets every block, itself included, once: its rows go to (i, j) for all i <= own and j >= own.
     spread = pairs_of.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("part", "k1", "component", "n", "sketch", "lower", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spread = spread.select("part", "k1", "component", "n", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
         k1, component, n, own = (table.column(c).to_numpy() for c in ("k1", "component", "n", "own"))
         same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         sketch = folded(table.column("sketch").to_pylist())
-        lower = [frozenset(v) for v in table.column("lower").to_pylist()]
         a_out, b_out = [], []
         for x in range(len(k1)):
             ok = (component != component[x]) & (k1 > k1[x])
@@ -201,13 +199,12 @@ def across(pairs_of: DataFrame, percent: int) -> DataFrame:
             y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
             if len(y):
                 y = y[may_link(np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1), n[y] + n[x], percent)]
-                y = y[[lower[x].isdisjoint(lower[k]) for k in y.tolist()]] if len(y) else y
                 a_out.append(np.full(len(y), k1[x]))
                 b_out.append(k1[y])
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a_out]), "b": np.concatenate([none, *b_out])})
 
-    return spread.groupBy("part", "i", "j").applyInArrow(run, "a long, b long")
+    return spread.groupBy("part", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def link_classes(df: DataFrame, text: str, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -245,8 +242,7 @@ def link_classes(df: DataFrame, text: str, classes: DataFrame, width: int, perce
     # The one pair of a part of two classes has been verified.
     large = active.groupBy("part").agg(F.count("*").alias("members")).filter(F.col("members") > 2)
     active = checkpoint(active.join(large, "part"))
-    lists = active.groupBy("k1").agg(F.collect_list("part").alias("parts"))  # a class has as many as its sketch
-    left = active.join(sets.select("k1", "n", "sketch"), "k1").join(lists, "k1").withColumn("lower", F.expr("filter(parts, x -> x < part)")).drop("parts")
+    left = active.join(sets.select("k1", "n", "sketch"), "k1")
     return components(links.union(verified(across(left, percent), sets, percent))).toDF("k1", "component")
 
 
