@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import fold, index, jobs, ladder, segment, timeline
+from tidemark.operators import fold, index, jobs, ladder, scan, segment, timeline
 from tidemark.plans.catalogue import TARGET
 from tidemark.sources import boxes, media, sinks, views
 from tidemark.streaming import control
@@ -310,10 +310,29 @@ def test_runs_beyond_the_limit_fail(spark):
 def test_as_of_without_times_and_with_clashing_names(spark):
     left = spark.createDataFrame([(1, 5, "a"), (1, None, "b"), (2, 5, "c")], "k long, t long, v string")
     right = spark.createDataFrame([(1, 4, "x"), (1, None, "y")], "k long, t long, v string")
-    for found in (timeline.as_of(left, right, "k", "t", ["v"]), timeline.nearest(left, right, "k", "t", ["v"])):
+    for found in (f(left, right, "k", "t", ["v"], span=s) for f in (timeline.as_of, timeline.nearest) for s in (None, 2)):
         assert {r["v"]: r["v_found"] for r in found.collect()} == {"a": "x", "b": None, "c": None}
 
 
+@pytest.mark.parametrize("span", [1, 7, 1000])
+def test_blocks_of_a_key_do_not_change_a_result(spark, span):
+    rng = random.Random(span)
+    left = spark.createDataFrame([(rng.randint(0, 2), rng.randint(-50, 50), k) for k in range(150)], "k long, t long, n long")
+    times = [(k, t) for k in (0, 1) for t in rng.sample(range(-45, 46), 9)]
+    right = spark.createDataFrame([(k, t, 1000 * k + t) for k, t in times], "k long, t long, v long")
+    for strict in (False, True):
+        found = {r["n"]: r["v"] for r in timeline.as_of(left, right, "k", "t", ["v"], strict, span=span).collect()}
+        past = lambda k, t: [s for j, s in times if j == k and (s < t or s == t and not strict)]  # noqa: B023, E731
+        assert found == {r["n"]: 1000 * r["k"] + max(past(r["k"], r["t"])) if past(r["k"], r["t"]) else None for r in left.collect()}
+    plain, blocks = ({tuple(r) for r in timeline.nearest(left, right, "k", "t", ["v"], s).collect()} for s in (None, span))
+    assert plain == blocks
+    plain, blocks = ({tuple(r) for r in timeline.merge(left, right.withColumnRenamed("v", "n"), "t", "k", "n", span=s).select("k", "t", "n", "rank", "pos").collect()} for s in (None, span))
+    assert plain == blocks
+    totals = scan.running_sum(left.dropDuplicates(["k", "t"]), "k", "t", "n", "s", span)
+    rows = totals.collect()
+    assert all(r["s"] == sum(x["n"] for x in rows if x["k"] == r["k"] and x["t"] < r["t"]) for r in rows)
+
+
 @pytest.mark.parametrize(("ticks", "scale", "us"), [(4_500_000_000_001, 3, 1_500_000_000_000_333_333), (10**13, 1_000_000, 10**13), (1, 3, 333_333), (2, 3, 666_667), (-1, 2, -500_000), (1, 2_000_000, 1), (0, 1, 0)])
 def test_time_scales_are_exact(spark, ticks, scale, us):
     assert spark.range(1).select(timeline.ticks_to_us(F.lit(ticks).cast("long"), scale)).first()[0] == us

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from tidemark.model import MAX_SAMPLES
 
+from .scan import running_sum
 from .timeline import as_of
 
 
-def decode_times(samples: DataFrame, key: str = "track", order: str = "sample_idx", duration: str = "duration") -> Column:
-    """Ticks before each sample of its track."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(duration).over(before), F.lit(0)).cast("long")
+#: Samples, chunks or runs of a key that one task sorts.
+SPAN = 1 << 16
+
+
+def decode_times(samples: DataFrame, key: str = "track", order: str = "sample_idx", duration: str = "duration", output: str = "decode_time") -> DataFrame:
+    """samples with the ticks before each in its track."""
+    return running_sum(samples, key, order, duration, output, SPAN)
 
 
 def rows_of_columns(df: DataFrame, *columns: str) -> DataFrame:
@@ -23,9 +27,7 @@ def rows_of_columns(df: DataFrame, *columns: str) -> DataFrame:
 
 def expand_runs(runs: DataFrame, key: str, order: str, count: str, value: str, most: int = MAX_SAMPLES) -> DataFrame:
     """key, sample_idx and value of each run, repeated count times; more than most rows of a key are an error."""
-    ends = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.coalesce(F.sum(count).over(ends), F.lit(0)).cast("long")
-    placed = runs.filter(F.col(count) > 0).withColumn("__first", first)
+    placed = running_sum(runs.select(key, order, count, value).filter(F.col(count) > 0), key, order, count, "__first", SPAN)
     stop = F.col("__first") + F.col(count)
     checked = F.when(stop > most, F.raise_error(F.concat(F.lit(f"more than {most} samples of "), F.col(key).cast("string"))).cast("long")).otherwise(stop - 1)
     each = F.explode(F.sequence(F.col("__first"), checked))
@@ -34,7 +36,7 @@ def expand_runs(runs: DataFrame, key: str, order: str, count: str, value: str, m
 
 def covering_runs(chunks: DataFrame, runs: DataFrame, key: str, chunk: str, *values: str) -> DataFrame:
     """Chunks with the values of the last run of their key whose first chunk isn't after them (null if there is none)."""
-    return as_of(chunks, runs, key, chunk, list(values))
+    return as_of(chunks, runs, key, chunk, list(values), span=SPAN)
 
 
 def sample_rows(tracks: DataFrame, *keys: str) -> DataFrame:

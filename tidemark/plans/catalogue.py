@@ -29,7 +29,7 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 @query
 def sample_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.samples(spark, sf_dir)
-    return v.select("track", "sample_idx", "duration", "is_sync", "size", index.decode_times(v).alias("decode_time"))
+    return index.decode_times(v.select("track", "sample_idx", "duration", "is_sync", "size"))
 
 
 @query
@@ -181,13 +181,13 @@ def _audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def merge_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("track", "us", "event_id")
-    return timeline.merge(_video(spark, sf_dir).select(*columns), _audio(spark, sf_dir).select(*columns), "us", "track", "event_id").select("track", "pos", "us", "event_id", F.col("rank").cast("long").alias("rank"))
+    return timeline.merge(_video(spark, sf_dir).select(*columns), _audio(spark, sf_dir).select(*columns), "us", "track", "event_id", span=DAY).select("track", "pos", "us", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def audio_asof_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = segment.segments(_video(spark, sf_dir), TARGET).select("track", F.col("start_us").alias("us"), "seg_idx")
-    found = timeline.as_of(_audio(spark, sf_dir).select("track", "us", "event_id"), cut, "track", "us", ["seg_idx"], strict=True)
+    found = timeline.as_of(_audio(spark, sf_dir).select("track", "us", "event_id"), cut, "track", "us", ["seg_idx"], strict=True, span=DAY)
     return found.select("track", "event_id", F.coalesce("seg_idx", F.lit(0)).cast("long").alias("seg_idx"))
 
 
@@ -200,12 +200,12 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sync_at_or_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     sync = views.samples(spark, sf_dir).filter("is_sync").select("track", "us", "sample_idx")
-    return timeline.as_of(_targets(spark, sf_dir), sync, "track", "us", ["sample_idx"]).select("track", "us", F.coalesce("sample_idx", F.lit(0)).cast("long").alias("sample_idx"))
+    return timeline.as_of(_targets(spark, sf_dir), sync, "track", "us", ["sample_idx"], span=DAY).select("track", "us", F.coalesce("sample_idx", F.lit(0)).cast("long").alias("sample_idx"))
 
 
 @query
 def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.nearest(_targets(spark, sf_dir), views.samples(spark, sf_dir).select("track", "us", "sample_idx"), "track", "us", ["sample_idx"])
+    return timeline.nearest(_targets(spark, sf_dir), views.samples(spark, sf_dir).select("track", "us", "sample_idx"), "track", "us", ["sample_idx"], span=DAY)
 
 
 @query
