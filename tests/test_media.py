@@ -65,3 +65,37 @@ def test_reads_neighbours_at_once(spark, tmp_path):
     assert [x[1] for x in found] == [bytes(range(o, o + n)) for _, _, o, n in rows] and [x[2] for x in found] == [0, 0, 1, 2]
     with pytest.raises(Exception, match="ends before"):
         boxes.read_samples(spark.createDataFrame([(str(path), 0, 190, 20)], df.schema), 50).collect()
+
+
+def test_little_is_read_beyond_the_media(spark, tmp_path):
+    """Headers and the movie box are read without the media, and samples in runs without gaps between them."""
+    media_bytes, samples, at = b"", [], 40
+    for k in range(600):
+        size = 100 + k % 13 * 7
+        samples.append((at, size, 3000, k % 30 == 0, 0))
+        at += size
+        media_bytes += bytes(size)
+    movie = media.movie(90_000, VIDEO, samples, per_chunk=5)
+    path = tmp_path / "whole.mp4"
+    path.write_bytes(boxes.box("ftyp", bytes(24)) + boxes.box("mdat", media_bytes) + movie[movie.index(b"moov") - 4 :])
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.bytes = file, 0
+
+        def seek(self, to):
+            self.file.seek(to)
+
+        def read(self, n):
+            got = self.file.read(n)
+            self.bytes += len(got)
+            return got
+
+    with open(path, "rb") as file:
+        counted = Counted(file)
+        (found,) = boxes.MovieReader({}).rows(str(path), counted, path.stat().st_size)
+    assert counted.bytes <= len(found[2]) + 16 * 3
+    rows = spark.createDataFrame([(str(path), k, o, n) for k, (o, n, *_) in enumerate(samples)], "path string, sample_idx long, offset long, size long")
+    read = boxes.read_samples(rows, 4 << 20)
+    runs = read.groupBy("path", "island").agg((F.max(F.col("offset") + F.col("size")) - F.min("offset")).alias("bytes"))
+    assert runs.agg(F.sum("bytes")).first()[0] == len(media_bytes) and runs.count() == 1
