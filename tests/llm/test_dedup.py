@@ -181,7 +181,9 @@ def test_equal_sets_have_equal_digests(rng):
     assert all(len(v) == 1 for v in by_set.values()) and len(set.union(*by_set.values())) == len(by_set)
 
 
-def test_components(spark, rng):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components(spark, rng, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     links = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(300 + k, 301 + k) for k in range(40)] + [(900, 901 + k) for k in range(50)]
     found = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()))
     root = dict(zip(*components.forest([a for a, _ in links], [b for _, b in links]), strict=True))
@@ -213,7 +215,8 @@ def test_embeddings(spark, monkeypatch):
     centres = rng.normal(size=(12, 8))
     rows = [(k, (centres[k % 12] + rng.normal(size=8) * rng.choice([0.02, 0.1, 1])).astype(np.float32).tolist(), int(k % 3)) for k in range(150)]
     rows += [(200, rows[0][1], 0), (201, rows[0][1], 0), (202, rows[0][1], 1), (203, None, 0), (204, [0.0] * 8, 0), (205, [1.0, None], 0), (206, [float("nan")] * 8, 0), (207, rows[0][1], None), (208, [], 0), (209, [1.0, 2.0], 0), (210, [2.0, 4.0], 0), (None, rows[0][1], 0), (211, [1e30, 1e30], 0), (212, [1e-30, 1e-30], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumnRenamed("x", "n")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df = df.selectExpr("*", "'clash' AS n", "'clash' AS class", "1 AS cell", "'clash' AS component_id")
     found = embedding_dedup.near_duplicates(df).collect()
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in found), key=repr) == plain_embeddings(rows, 0.98)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found if r["vec_id"] is not None)

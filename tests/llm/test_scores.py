@@ -87,6 +87,14 @@ def test_no_part_of_a_long_run_is_left_out(labelled):
     assert not np.array_equal(a, b)
 
 
+def test_a_very_long_text_is_scored_to_its_end(labelled):
+    own = toxicity.Scorer(toxicity.train([t for t, _ in labelled[:180]], [y for _, y in labelled[:180]]))
+    clean = next(t for t, y in labelled if not y and len(t.split()) >= 60 and own.scores([t])[0] < 0.3)
+    long = " ".join([clean] * 3000)
+    mild, bad, glued = own.scores([long, long + " grolk vrazz grolkish", long.replace(" ", ",") + ",grolk,vrazz,grolkish"])
+    assert len(long) > 1_000_000 and mild < 0.5 <= min(bad, glued)
+
+
 def test_training_looks_at_all_windows():
     rng = random.Random(3)
     texts, at = [], toxicity.TRAIN_WINDOWS * toxicity.STRIDE + 400

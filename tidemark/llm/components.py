@@ -1,7 +1,8 @@
 """Connected components of links by alternating large and small stars.
 
 Each round is a few aggregations and joins by key, so no task holds a component and none reaches the driver;
-lineage is cut after every round. Links are first contracted within each partition by union-find.
+lineage is cut after every round. Links are first contracted within each partition by union-find. Where that leaves FEW
+links at most, which are counted, one task contracts them to the end: rounds would cost more than that.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+#: Links that one task may hold (some tens of MB).
+FEW = 200_000
+
+
 def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """Links (node, smallest node of its component) that connect what the links a-b connect."""
     parent: dict[int, int] = {}
@@ -71,6 +76,8 @@ def _settled(links: DataFrame) -> bool:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node and component (its smallest member) of every node of links (columns a and b of longs)."""
     now = checkpoint(contract(links).distinct())
+    if now.count() <= FEW:
+        now, rounds = checkpoint(contract(now.coalesce(1))), 1
     for _ in range(rounds):
         if _settled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

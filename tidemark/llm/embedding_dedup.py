@@ -89,7 +89,7 @@ def interval_pairs(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
 
 
 def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", group: str = "label") -> DataFrame:
-    """Columns key, n_links, component_id and kept; see the module."""
+    """Columns key (of integers), n_links, component_id and kept; see the module. An empty table gives an empty one."""
     source = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(group).alias("g"))
     usable = sound("v") & F.col("g").isNotNull() & F.col("id").isNotNull()
     hashed = source.select("id", "g", "v", F.coalesce(usable, F.lit(False)).alias("ok")).withColumn("k1", F.when(F.col("ok"), F.xxhash64(F.lit(1), "v"))).withColumn("k2", F.when(F.col("ok"), F.xxhash64(F.lit(2), "v")))
