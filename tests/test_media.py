@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import names
 from tidemark.operators import validate
 from tidemark.sources import boxes, media
 
@@ -29,8 +30,11 @@ def test_init_segment_reads_back():
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 16_383, 16_384, 2_097_152])
-def test_lengths(n):
-    assert media.read_length(media.write_length(n), 0) == (n, len(media.write_length(n)))
+def test_lengths(spark, n):
+    written = media.write_length(n)
+    assert media.read_length(written, 0) == (n, len(written))
+    found = spark.range(1).select(names.descriptor_length(F.lit(n)), names.length_of_descriptor(F.lit(written + b"x")), names.length_of_descriptor(F.lit(written[:-1]))).first()
+    assert bytes(found[0]) == written and found[1] == n and found[2] is None
 
 
 def test_validation(spark):

@@ -56,6 +56,24 @@ def aac_codec(config: Column) -> Column:
     return F.concat(F.lit("mp4a.40."), F.when(F.octet_length(config) > 0, F.shiftright(first, 3)).otherwise(F.lit(2)).cast("string"))
 
 
+def descriptor_length(n: Column) -> Column:
+    """A length as descriptors have it: seven bits a byte, the highest first, all but the last marked; up to 28 bits."""
+    part = lambda k: F.when(n >= 128**k, F.lpad(F.hex(F.shiftright(n, 7 * k).bitwiseAND(127).bitwiseOR(128)), 2, "0")).otherwise("")
+    return F.unhex(F.concat(part(3), part(2), part(1), F.lpad(F.hex(n.bitwiseAND(127)), 2, "0")))
+
+
+def length_of_descriptor(data: Column) -> Column:
+    """The length that bytes begin with; null if they end before it does."""
+    byte = lambda k: F.conv(F.hex(F.substring(data, k, 1)), 16, 10).cast("long")
+    value, found = F.lit(0).cast("long"), F.lit(None).cast("long")
+    for k in range(4, 0, -1):
+        value = F.lit(0).cast("long")
+        for j in range(1, k + 1):
+            value = value * 128 + byte(j).bitwiseAND(127)
+        found = F.when(byte(k) < 128, value).otherwise(found)
+    return found
+
+
 def storage_id(prefix: Column, name: Column) -> Column:
     """An id of at most 36 characters; longer names keep their tail behind a hash of the whole."""
     raw = F.when(F.coalesce(prefix, F.lit("")) == "", name).otherwise(F.concat(prefix, F.lit("-"), name))

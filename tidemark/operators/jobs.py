@@ -65,6 +65,11 @@ def cascade_delete(jobs: DataFrame, outputs: DataFrame, gone: DataFrame, key: st
     return jobs.join(gone, key, "left_anti"), outputs.join(gone, key, "left_anti")
 
 
+def truncated(*stores: DataFrame) -> tuple[DataFrame, ...]:
+    """Stores without rows, to be written over the old ones."""
+    return tuple(s.filter(F.lit(False)) for s in stores)
+
+
 def matching(picked: DataFrame, stored: DataFrame, *identity: str) -> DataFrame:
     """Picked files that a stored job is of."""
     return picked.join(stored.select(*identity), list(identity), "left_semi")

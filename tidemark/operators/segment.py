@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.names import init_name, playlist_name
+
 from .fold import by_gap, by_island, by_keyframe, fold
 
 
@@ -21,6 +23,28 @@ def segments(samples: DataFrame, target: int, key: str = "track") -> DataFrame:
     )
 
 
+def from_frames(frames: DataFrame, key: str = "track", time: str = "us") -> DataFrame:
+    """Samples of frames (key, time, width, height) from any source: a frame lasts to the next one; the first frame of a key says how large all are."""
+    order = Window.partitionBy(key).orderBy(time)
+    size = frames.groupBy(key).agg(F.min_by(F.struct("width", "height"), time).alias("__size"))
+    lasting = frames.drop("width", "height").withColumns({"sample_idx": (F.row_number().over(order) - 1).cast("long"), "duration": F.coalesce(F.lead(time).over(order) - F.col(time), F.lit(0)).cast("long")})
+    return lasting.join(size, key).select(*lasting.columns, F.col("__size.width").alias("width"), F.col("__size.height").alias("height"))
+
+
+def progress_of(cut: DataFrame, audio: DataFrame, prefix: Column, key: str = "track") -> DataFrame:
+    """key, the index of the next segment, if it has audio, and the names of its init segment and playlist."""
+    heard = audio.select(key).distinct().withColumn("__audio", F.lit(True))
+    known = cut.groupBy(key).agg((F.max("seg_idx") + 1).cast("long").alias("next_segment")).join(heard, key, "left")
+    return known.select(key, "next_segment", F.coalesce("__audio", F.lit(False)).alias("has_audio"), init_name(prefix).alias("init"), playlist_name(prefix).alias("playlist"))
+
+
+def oldest(ready: DataFrame, key: str = "track") -> DataFrame:
+    """Of the segments of each key that wait, the one to take next."""
+    rest = [c for c in ready.columns if c not in (key, "seg_idx")]
+    first = ready.groupBy(key).agg(F.min(F.struct("seg_idx", *rest)).alias("__s"))
+    return first.select(key, "__s.*")
+
+
 def with_base_times(cut: DataFrame, key: str = "track") -> DataFrame:
     """Segments with the ticks before them."""
     before = Window.partitionBy(key).orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)

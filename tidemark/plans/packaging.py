@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import __version__
 from tidemark.functions import names
-from tidemark.operators import index, jobs, ladder, manifest, timeline, validate
+from tidemark.operators import index, jobs, ladder, manifest, segment, timeline, validate
 from tidemark.session import shared_folder, table
 from tidemark.sources import adapters, boxes, media, sinks, views
 from tidemark.streaming.control import pulled, run_through
@@ -217,9 +218,54 @@ def main_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.main_playlist(outputs, "job")
 
 
+# Segmenters
+
+
+def _with_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.samples(spark, sf_dir).select("track", F.col("event_id").alias("frame"), F.expr("us * 16 + sample_idx % 16").alias("us"), (F.col("event_id") % 7 * 16 + 320).alias("width"), (F.col("event_id") % 5 * 16 + 240).alias("height"))
+
+
+@query
+def frame_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.from_frames(_with_sizes(spark, sf_dir))
+
+
+@query
+def segmenter_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.samples(spark, sf_dir)
+    return segment.progress_of(segment.segments(v, TARGET), v.filter(F.col("event_type") == "error"), F.concat(F.lit("t"), F.col("track").cast("string")))
+
+
+@query
+def oldest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments to take next, where some have been taken."""
+    cut = segment.segments(views.samples(spark, sf_dir), TARGET).select("track", "seg_idx", "n", "bytes")
+    return segment.oldest(cut.filter(F.col("seg_idx") >= F.col("track") % 4))
+
+
+@query
+def descriptor_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.round(F.col("o_totalprice") * 100).cast("long") % (1 << 28)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, n % 20_000).otherwise(n).alias("n"))
+    data = names.descriptor_length(F.col("n"))
+    return o.select("o_orderkey", F.lower(F.hex(data)).alias("written"), names.length_of_descriptor(data).alias("n"), F.coalesce(names.length_of_descriptor(F.substring(data, 1, 2)), F.lit(-1)).alias("cut_off"))
+
+
+@query
+def engine_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(F.lit(__version__).alias("version"))
+
+
 # Jobs
 
 
+@query
+def truncated_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = jobs.truncated(views.jobs(spark, sf_dir), views.outputs(spark, sf_dir))
+    counts = [s.agg(F.count("*").alias("rows")).select(F.lit(n).alias("store"), "rows") for n, s in zip(("jobs", "outputs"), kept, strict=True)]
+    return counts[0].union(counts[1])
+
+
 @query
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.progress(views.jobs(spark, sf_dir), "owner", F.col("status") == "done")

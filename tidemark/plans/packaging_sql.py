@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from tidemark import __version__
 from tidemark.model import ERRORS, HIGHEST_LEVEL, LEVELS
 
-from .oracle import SRC, TARGET, V
+from .oracle import SEGMENTS, SRC, TARGET, V
 
 #: A fragment of n samples and s bytes: boxes with their depth, place and size.
 HEADER = "8 + 16 + (8 + 16 + 20 + (20 + 16 * n))"
@@ -61,6 +62,12 @@ ORACLE: dict[str, str] = {
     "main_playlists": f"WITH {OUTPUTS} SELECT job, coalesce(arg_max(name, page_id) FILTER (name LIKE '%master%'), arg_min(name, page_id)) AS main FROM o WHERE is_manifest GROUP BY job",
     "job_progress": "SELECT o_custkey AS owner, count(*) FILTER (o_orderstatus = 'F') AS processed, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') / count(*) AS fraction FROM orders GROUP BY owner",
     "job_snapshots": f"WITH {OUTPUTS} SELECT page_id, name, is_manifest, 'job-' || job AS job_id FROM o",
+    "frame_samples": f"WITH {V}, f AS (SELECT track, event_id AS frame, us * 16 + sample_idx % 16 AS us, event_id % 7 * 16 + 320 AS w, event_id % 5 * 16 + 240 AS h FROM v) SELECT track, frame, us, row_number() OVER o - 1 AS sample_idx, coalesce(lead(us) OVER o - us, 0) AS duration, first_value(w) OVER o AS width, first_value(h) OVER o AS height FROM f WINDOW o AS (PARTITION BY track ORDER BY us)",
+    "segmenter_progress": SEGMENTS + "SELECT track, max(seg_idx) + 1 AS next_segment, track IN (SELECT track FROM v WHERE event_type = 'error') AS has_audio, 't' || track || '_init.mp4' AS init, 't' || track || '.m3u8' AS playlist FROM s GROUP BY track",
+    "oldest_segments": SEGMENTS + "SELECT track, seg_idx, n, bytes FROM s WHERE seg_idx >= track % 4 QUALIFY row_number() OVER (PARTITION BY track ORDER BY seg_idx) = 1",
+    "descriptor_lengths": "WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) % 268435456 AS p FROM orders), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN p % 20000 ELSE p END AS n FROM o) SELECT o_orderkey, CASE WHEN n >= 2097152 THEN printf('%02x', (n >> 21) % 128 + 128) ELSE '' END || CASE WHEN n >= 16384 THEN printf('%02x', (n >> 14) % 128 + 128) ELSE '' END || CASE WHEN n >= 128 THEN printf('%02x', (n >> 7) % 128 + 128) ELSE '' END || printf('%02x', n % 128) AS written, n, coalesce(CASE WHEN n < 16384 THEN n END, -1) AS cut_off FROM n",
+    "engine_version": f"SELECT '{__version__}' AS version",
+    "truncated_stores": "SELECT * FROM (VALUES ('jobs', 0::BIGINT), ('outputs', 0::BIGINT)) t(store, rows)",
     "routed_messages": "SELECT user_id AS job_id, event_id, c_nationkey AS handler FROM events JOIN customer ON c_custkey = user_id WHERE c_custkey % 3 = 0",
     "streamed_segments": f"WITH RECURSIVE {STREAM} SELECT track, seg_idx, first_sample, n, ticks, bytes, n_audio, audio_ticks, audio_bytes FROM g WHERE n > 0",
 }
