@@ -349,3 +349,14 @@ def test_resumable_jobs_over_several_hours(spark):
     found = {r["job_id"]: r["rank"] for r in jobs.resumable(spark.createDataFrame(rows, "job_id long, status string, updated_at long")).collect()}
     order = sorted((r for r in rows if r[1] == "processing"), key=lambda r: (-r[2], r[0]))
     assert found == {r[0]: n for n, r in enumerate(order, 1)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from tidemark.session import shared_folder
+
+    make = lambda folder, master: Some(sparkContext=Some(getCheckpointDir=lambda: None, getConf=lambda: Some(get=lambda _: folder), master=master))
+    assert shared_folder(make("/shared", "spark://cluster:7077")) == "/shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(make(None, "spark://cluster:7077"))
