@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import anchors, components, embedding_dedup, ngram_join, shingles, suffix_dedup
+from tidemark.llm import anchors, common, components, embedding_dedup, ngram_join, shingles, suffix_dedup
 from tidemark.llm.suffix_array import suffix_array
 
 
@@ -221,3 +221,11 @@ def test_embeddings(spark, monkeypatch):
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in found), key=repr) == plain_embeddings(rows, 0.98)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found if r["vec_id"] is not None)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Some
+
+    context = Some(getCheckpointDir=lambda: None, getConf=lambda: Some(get=lambda _: None), master="spark://cluster:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.checkpoint(Some(sparkSession=Some(sparkContext=context)))

@@ -266,7 +266,8 @@ def _grouped(df: DataFrame, key: str, text: str, width: int, percent: int, unnam
     linked = link_classes(df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(takes), "text", classes.select("k1", "lead.id", f"lead.{T1}"), width, percent)
     labelled = classes.join(linked, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
     least = labelled.groupBy("component").agg(F.min("lead").alias("lead"))
-    return rows, labelled.drop("lead").join(least, "component").select("k1", "k2", "n", "lead")
+    # Cut off from its aggregation, so that Spark can split a component of very many classes.
+    return rows, labelled.drop("lead").join(checkpoint(least), "component").select("k1", "k2", "n", "lead")
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
