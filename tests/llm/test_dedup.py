@@ -122,6 +122,7 @@ def near_copies(rng):
 def test_groups(spark, rng, monkeypatch, width, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "ORDERS", 1)
+    monkeypatch.setattr(ngram_join, "FIRST", 1 if block == 3 else 16)
     rows = near_copies(rng) + [(500, None), (501, ""), (502, " \t"), (503, "A b C"), (504, "a B c"), (505, "w1 w2 w3"), (3, "w1 w2 w3 w4 w5 w6"), (None, "a b c")]
     rows = [r for r in rows if r[0] != 3 or r[1].startswith("w1 w2 w3 w4 w5 w6")]
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent).collect()}

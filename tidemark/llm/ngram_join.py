@@ -36,6 +36,8 @@ from .shingles import mix, set_keys, shingle_sets
 BLOCK = 256
 #: Orders under which the classes of a part have a least one, and so rounds before blocks.
 ORDERS = 2
+#: Parts of a class by which it is told where a pair is made.
+FIRST = 16
 #: Ids or pairs of them that are sent to every executor to pick rows; more are joined by a shuffle.
 SENT_IDS = 500_000
 #: Shingles of sets that are sent to every executor, likewise.
@@ -178,18 +180,21 @@ def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def across(pairs_of: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) across components within parts, less those that the sketches rule out.
 
-    pairs_of: part, k1, component, n, sketch, and the number of rows of the part (members).
+    pairs_of: part, k1, component, n, sketch, the class's FIRST least parts, and the number of rows of the part (members).
+    If two classes have one of these in common, the least such part is the least of all that they share, and the pair is
+    made there only; else it is made in all, which are few if so many of the least are not among them.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("k1"), blocks).cast("int")
     # A block meets every block, itself included, once: its rows go to (i, j) for all i <= own and j >= own.
     spread = pairs_of.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("part", "k1", "component", "n", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spread = spread.select("part", "k1", "component", "n", "sketch", "least", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
         k1, component, n, own = (table.column(c).to_numpy() for c in ("k1", "component", "n", "own"))
         same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         sketch = folded(table.column("sketch").to_pylist())
+        part, least = table.column("part")[0].as_py(), [frozenset(v) for v in table.column("least").to_pylist()]
         a_out, b_out = [], []
         for x in range(len(k1)):
             ok = (component != component[x]) & (k1 > k1[x])
@@ -199,6 +204,7 @@ def across(pairs_of: DataFrame, percent: int) -> DataFrame:
             y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
             if len(y):
                 y = y[may_link(np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1), n[y] + n[x], percent)]
+                y = y[[min(least[x] & least[k], default=part) == part for k in y.tolist()]] if len(y) else y
                 a_out.append(np.full(len(y), k1[x]))
                 b_out.append(k1[y])
         none = np.zeros(0, np.int64)
@@ -242,7 +248,8 @@ def link_classes(df: DataFrame, text: str, classes: DataFrame, width: int, perce
     # The one pair of a part of two classes has been verified.
     large = active.groupBy("part").agg(F.count("*").alias("members")).filter(F.col("members") > 2)
     active = checkpoint(active.join(large, "part"))
-    left = active.join(sets.select("k1", "n", "sketch"), "k1")
+    lists = active.groupBy("k1").agg(F.slice(F.array_sort(F.collect_list("part")), 1, FIRST).alias("least"))  # a class has as many parts as its sketch
+    left = active.join(sets.select("k1", "n", "sketch"), "k1").join(lists, "k1")
     return components(links.union(verified(across(left, percent), sets, percent))).toDF("k1", "component")
 
 
