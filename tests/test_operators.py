@@ -300,6 +300,24 @@ def test_limits_of_boxes(monkeypatch, tmp_path):
             list(reader({"paths": str(path)}).read(boxes.BoxPartition(str(path))))
 
 
+def test_sample_rows_of_odd_tables(spark):
+    pairs, triples = "array<struct<a: long, b: long>>", "array<struct<a: long, b: long, c: long>>"
+    schema = f"k long, stts {pairs}, ctts {pairs}, stsc {triples}, sizes array<long>, chunks array<long>, sync array<long>"
+    rows = [
+        (1, [(2, 7), (0, 9), (1, 8)], [], [(1, 2, 1), (3, 1, 1)], [10, 20, 30, 40, 50], [100, 200, 300], [4, 1, 4]),
+        (2, [(9, 1)], [(1, -5)], [(2, 1, 1)], [5, 6], [1000, 2000, 3000], None),
+        (3, [], [], [], [5], [], []),
+        (4, [], [], [], [], [], None),
+    ]
+    found = index.sample_rows(spark.createDataFrame(rows, schema), "k").orderBy("k", "sample_idx").select("k", "sample_idx", "offset", "size", "duration", "is_sync", "cts").collect()
+    assert list(map(tuple, found)) == [
+        (1, 0, 100, 10, 7, True, 0), (1, 1, 110, 20, 7, False, 0), (1, 2, 200, 30, 8, False, 0), (1, 3, 230, 40, 0, True, 0), (1, 4, 300, 50, 0, False, 0),
+        (2, 0, 2000, 5, 1, True, -5), (2, 1, 3000, 6, 1, True, 0), (3, 0, 0, 5, 0, False, 0),
+    ]
+    with pytest.raises(Exception, match="more than 4 samples"):
+        index.sample_rows(spark.createDataFrame(rows, schema), "k", most=4).collect()
+
+
 def test_runs_beyond_the_limit_fail(spark):
     runs = spark.createDataFrame([(1, 0, 4, 100), (1, 1, 3, 7)], "t long, r long, n long, d long")
     assert index.expand_runs(runs, "t", "r", "n", "d", 7).count() == 7

@@ -39,26 +39,33 @@ def covering_runs(chunks: DataFrame, runs: DataFrame, key: str, chunk: str, *val
     return as_of(chunks, runs, key, chunk, list(values), span=SPAN)
 
 
-def sample_rows(tracks: DataFrame, *keys: str) -> DataFrame:
-    """keys, sample_idx, offset, size, duration, is_sync and cts of every sample of tracks with run-length tables (sources/boxes.py).
+def sample_rows(tracks: DataFrame, *keys: str, most: int = MAX_SAMPLES) -> DataFrame:
+    """keys, sample_idx, offset, size, duration, is_sync and cts of every sample of tracks with run-length tables (sources/media.py).
 
-    Each table becomes rows, and rows meet by (keys, sample_idx): sizes say which samples there are, a duration or offset that is
-    missing is 0, and without a table of sync samples all are. Chunks find their run as in covering_runs.
+    A track's tables are arrays of a row, of which at most `most` samples may speak. They are unrolled side by side within the row,
+    and zipped, so that nothing is shuffled but by chunk, for offsets. Sizes say which samples there are; a duration, offset or
+    chunk that is missing is 0, chunks take the samples of the last run that begins at or before them, and without a table of
+    sync samples all are.
     """
-    key = F.struct(*keys).alias("key")
-    runs = lambda c: tracks.select(key, F.posexplode(c).alias("at", "run")).select("key", "at", F.col("run.a").alias("n"), F.col("run.b").alias("value"))
-    sizes = tracks.select(key, F.posexplode("sizes").alias("sample_idx", "size"), F.col("sync").isNotNull().alias("has_table")).withColumn("sample_idx", F.col("sample_idx").cast("long"))
-    durations = expand_runs(runs("stts"), "key", "at", "n", "value").withColumnRenamed("value", "duration")
-    offsets = expand_runs(runs("ctts"), "key", "at", "n", "value").withColumnRenamed("value", "cts")
-    chunks = tracks.select(key, F.posexplode("chunks").alias("chunk", "base")).withColumn("chunk", (F.col("chunk") + 1).cast("long"))
-    covers = tracks.select(key, F.inline("stsc")).select("key", F.col("a").alias("chunk"), F.col("b").alias("n"))
-    filled = covering_runs(chunks, covers, "key", "chunk", "n").withColumn("place", F.struct("chunk", "base"))
-    placed = expand_runs(filled.filter(F.col("n").isNotNull()), "key", "chunk", "n", "place").select("key", "sample_idx", "place.*")
-    listed = tracks.select(key, F.explode("sync").alias("number")).select("key", (F.col("number") - 1).alias("sample_idx"))
-    whole = sizes.join(durations, ["key", "sample_idx"], "left").join(offsets, ["key", "sample_idx"], "left").join(placed, ["key", "sample_idx"], "left")
-    marked = sync_membership(whole, listed, "key", "sample_idx", "has_table")
-    located = marked.withColumn("offset", chunk_offsets(marked, "key", "chunk", "sample_idx", "base", "size"))
-    return located.select("key.*", "sample_idx", "offset", "size", F.coalesce("duration", F.lit(0)).cast("long").alias("duration"), "is_sync", F.coalesce("cts", F.lit(0)).cast("long").alias("cts"))
+    n = F.size("sizes")
+    repeat = lambda value, times: F.array_repeat(value, F.greatest(times, F.lit(0)).cast("int"))
+    unrolled = lambda c: F.flatten(F.transform(c, lambda r: repeat(r["b"], r["a"])))
+    many = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, r: s + r["a"])
+    too_many = (n > most) | (F.size("chunks") > most) | (many("stts") > most) | (many("ctts") > most)
+    checked = tracks.withColumn("sizes", F.when(too_many, F.raise_error(F.lit(f"more than {most} samples")).cast("array<long>")).otherwise(F.col("sizes")))
+    stop = lambda i: F.coalesce(F.get("stsc", i + 1)["a"], F.size("chunks") + F.lit(1).cast("long"))
+    before = repeat(F.lit(0).cast("long"), F.coalesce(F.get("stsc", F.lit(0))["a"], F.size("chunks") + F.lit(1).cast("long")) - 1)
+    per_chunk = F.concat(before, F.flatten(F.transform("stsc", lambda r, i: repeat(r["b"], stop(i) - r["a"]))))
+    flags = F.flatten(F.transform("sync", lambda s, j: F.concat(repeat(F.lit(False), s - 1 - F.when(j > 0, F.get("sync", j - 1)).otherwise(0)), F.array(F.lit(True)))))
+    runs = checked.withColumns({"sync": F.array_sort(F.array_distinct("sync")), "per_chunk": per_chunk})
+    held = F.flatten(F.transform("chunks", lambda base, c: repeat(F.struct(c.alias("chunk"), base.alias("base")), F.least(F.coalesce(F.get("per_chunk", c), F.lit(0)), n.cast("long")))))
+    sync = F.when(F.col("sync").isNull(), repeat(F.lit(True), n)).otherwise(flags)
+    zipped = F.arrays_zip(F.col("sizes").alias("size"), *(F.slice(c, F.lit(1), n).alias(name) for c, name in ((unrolled("stts"), "duration"), (unrolled("ctts"), "cts"), (held, "held"), (sync, "is_sync"))))
+    whole = runs.select(*keys, F.posexplode(zipped).alias("sample_idx", "s")).select(*keys, F.col("sample_idx").cast("long").alias("sample_idx"), "s.*")
+    within = Window.partitionBy(*keys, "held.chunk").orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.when(F.col("held").isNotNull(), F.col("held.base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rest = (F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("duration", "cts"))
+    return whole.select(*keys, "sample_idx", F.coalesce(offset, F.lit(0)).cast("long").alias("offset"), "size", F.coalesce("is_sync", F.lit(False)).alias("is_sync"), *rest)
 
 
 def chunk_offsets(samples: DataFrame, key: str, chunk: str, order: str, base: str, size: str) -> Column:
