@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -475,20 +476,31 @@ FRAGMENT = 64
 
 def packed_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments packed from all samples of each track, with payloads of their sizes: file (track and fragment) and content."""
-    columns = ("track", "sample_idx", "us", "duration", "is_sync", "size")
-    all_samples = views.samples(spark, sf_dir).select(F.struct("track", F.floor(F.col("sample_idx") / FRAGMENT).cast("long").alias("fragment")).alias("file"), *columns)
-
-    def pack(frame):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        frame = frame.sort_values("sample_idx")
-        track, first = int(frame["track"].iloc[0]), int(frame["sample_idx"].iloc[0]) // FRAGMENT
-        rows = [(int(d) & 0xFFFFFFFF, bool(s), 0, bytes(max(int(n), 0))) for d, s, n in frame[["duration", "is_sync", "size"]].itertuples(index=False)]
-        content = boxes.media_segment(first + 1 & 0xFFFFFFFF, 1, int(frame["us"].iloc[0]) & 0xFFFFFFFFFFFFFFFF, rows)
-        return pd.DataFrame({"file": [{"track": track, "fragment": first}], "content": [content]})
-
-    # Fragments of a long track are spread over tasks.
-    return all_samples.repartition("file").groupBy("file").applyInPandas(pack, "file struct<track: long, fragment: long>, content binary")
+    each = views.samples(spark, sf_dir).select("track", F.floor(F.col("sample_idx") / FRAGMENT).cast("long").alias("fragment"), "sample_idx", "us", "duration", "is_sync", "size")
+    # Fragments of a long track are spread over tasks; a task holds the samples of one fragment.
+    dealt = each.repartition("track", "fragment").sortWithinPartitions("track", "fragment", "sample_idx")
+
+    def pack(rows: list[tuple]) -> bytes:
+        samples = [(duration & 0xFFFFFFFF, sync, 0, bytes(max(size, 0))) for *_, duration, sync, size in rows]
+        return boxes.media_segment(rows[0][1] + 1 & 0xFFFFFFFF, 1, rows[0][3] & 0xFFFFFFFFFFFFFFFF, samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            file = pa.array([{"track": held[0][0], "fragment": held[0][1]}], pa.struct([("track", pa.int64()), ("fragment", pa.int64())]))
+            return pa.RecordBatch.from_arrays([file, pa.array([pack(held)], pa.binary())], names=["file", "content"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:2] != row[:2]:
+                    yield made()
+                    held.clear()
+                held.append(row)
+        if held:
+            yield made()
+
+    return dealt.mapInArrow(run, "file struct<track: long, fragment: long>, content binary")
 
 
 @query
