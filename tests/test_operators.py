@@ -347,6 +347,12 @@ def test_blocks_of_a_key_do_not_change_a_result(spark, span):
     plain, blocks = ({tuple(r) for r in timeline.merge(left, right.withColumnRenamed("v", "n"), "t", "k", "n", span=s).select("k", "t", "n", "rank", "pos").collect()} for s in (None, span))
     assert plain == blocks
     totals = scan.running_sum(left.dropDuplicates(["k", "t"]), "k", "t", "n", "s", span)
+    ordered = scan.after_previous(scan.counted(left.dropDuplicates(["k", "t"]), "k", "t", F.col("n") % 3 == 0, "g", span), "k", "t", F.col("n"), "p", span).orderBy("k", "t").collect()
+    groups, before = {}, {}
+    for r in ordered:
+        groups[r["k"]] = groups.get(r["k"], 0) + (r["n"] % 3 == 0)
+        assert (r["g"], r["p"]) == (groups[r["k"]], before.get(r["k"]))
+        before[r["k"]] = r["n"]
     rows = totals.collect()
     assert all(r["s"] == sum(x["n"] for x in rows if x["k"] == r["k"] and x["t"] < r["t"]) for r in rows)
 

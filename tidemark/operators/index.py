@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import MAX_SAMPLES
 
-from .scan import running_sum
+from .scan import counted, running_sum
 from .timeline import as_of
 
 
@@ -76,8 +76,7 @@ def chunk_offsets(samples: DataFrame, key: str, chunk: str, order: str, base: st
 
 def run_offsets(samples: DataFrame, key: str, order: str, base: str, data_offset: str, size: str) -> DataFrame:
     """Offsets in fragments: a run with a data offset begins at base plus that; others go on from the cursor."""
-    group = F.sum(F.col(data_offset).isNotNull().cast("int")).over(Window.partitionBy(key).orderBy(order))
-    numbered = samples.withColumn("__group", group)
+    numbered = counted(samples, key, order, F.col(data_offset).isNotNull(), "__group", SPAN)
     start = F.first(data_offset).over(Window.partitionBy(key, "__group").orderBy(order))
     before = Window.partitionBy(key, "__group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.col(base) + F.coalesce(start, F.lit(0)) + F.coalesce(F.sum(size).over(before), F.lit(0))

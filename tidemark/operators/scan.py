@@ -36,6 +36,20 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, output: str, sp
     return placed.withColumn(output, total.cast("long")).select(*df.columns, output)
 
 
+def counted(df: DataFrame, key: str, order: str, begins: Column, output: str, span: int) -> DataFrame:
+    """df with how many rows of its key, up to and with itself, begins is true of: the number of the group that they begin."""
+    marked = df.withColumn("__begins", F.coalesce(begins, F.lit(False)).cast("long"))
+    return running_sum(marked, key, order, "__begins", "__begun", span).withColumn(output, F.col("__begun") + F.col("__begins")).select(*df.columns, output)
+
+
+def after_previous(df: DataFrame, key: str, order: str, value: Column, output: str, span: int) -> DataFrame:
+    """df with value of the row before each in its key; null for the first."""
+    valued = in_blocks(df, order, span).withColumn("__value", value)
+    placed = with_blocks_before(valued, [key], {"__end": F.max_by("__value", order)}, {"__last": F.last("__end", ignorenulls=True)})
+    before = F.lag("__value").over(Window.partitionBy(key, BLOCK).orderBy(order))
+    return placed.withColumn(output, F.coalesce(before, "__last")).select(*df.columns, output)
+
+
 def ranks(df: DataFrame, key: str, order: str, tie: list[str], output: str, span: int) -> DataFrame:
     """df with the number of rows before each in its key, by order and then tie."""
     placed = with_blocks_before(in_blocks(df, order, span), [key], {"__count": F.count("*")}, {"__before": F.sum("__count")})

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import init_name, playlist_name
 
 from .fold import by_gap, by_island, by_keyframe, fold
+from .index import SPAN
+from .scan import after_previous, counted
 
 
 def segment_samples(samples: DataFrame, target: int, key: str = "track", order: str = "sample_idx") -> DataFrame:
@@ -72,9 +74,8 @@ def forced_keyframes(samples: DataFrame, every: int, key: str = "track", order:
 def read_islands(ranges: DataFrame, key: str, order: str, window: int | None = None) -> DataFrame:
     """Ranges (offset, size) with the island that one read of at most window bytes fetches."""
     if window is None:  # without a cap, gaps decide alone, and a window function does
-        over = Window.partitionBy(key).orderBy(order)
-        gap = F.coalesce(F.lag(F.col("offset") + F.col("size")).over(over) != F.col("offset"), F.lit(False)).cast("long")
-        return ranges.withColumn("__gap", gap).withColumn("island", F.sum("__gap").over(over).cast("long")).drop("__gap")
+        ended = after_previous(ranges, key, order, F.col("offset") + F.col("size"), "__ended", SPAN)
+        return counted(ended, key, order, F.col("__ended") != F.col("offset"), "island", SPAN).drop("__ended")
     return fold(ranges, [key], [order], ["offset", "size"], "island", by_island(window, "offset", "size"))
 
 

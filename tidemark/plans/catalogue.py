@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import checksums, names
-from tidemark.operators import index, jobs, ladder, manifest, segment, timeline
+from tidemark.operators import index, jobs, ladder, manifest, scan, segment, timeline
 from tidemark.session import table
 from tidemark.sources import boxes, views
 
@@ -45,8 +45,7 @@ def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gop_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("track").orderBy("sample_idx")
-    v = views.samples(spark, sf_dir).withColumn("gop", F.sum(F.col("is_sync").cast("long")).over(order))
+    v = scan.counted(views.samples(spark, sf_dir), "track", "sample_idx", F.col("is_sync"), "gop", index.SPAN)
     return v.groupBy("track", "gop").agg(F.sum("duration").cast("long").alias("ticks"), F.count("*").alias("n"))
 
 
