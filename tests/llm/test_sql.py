@@ -12,7 +12,7 @@ from tidemark.llm.queries import QUERIES, op1_toxicity
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, data, name):
     connection = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "pages"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{data}/{table}.parquet')")
     wanted = connection.execute(ORACLE_SQL[name])
     columns = [c[0] for c in wanted.description]

@@ -26,4 +26,17 @@ STRINGS = """WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM
  x AS (SELECT doc_id, count(*) AS n, CAST(sum(high - low) AS BIGINT) AS gone, max(high) AS last, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (low - before) AS BIGINT)), '' ORDER BY low) AS kept FROM f JOIN d USING (doc_id) GROUP BY doc_id)
  SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256, n IS NOT NULL AS touched FROM d LEFT JOIN x ON x.doc_id = d.doc_id"""
 
-ORACLE_SQL = {"op3_embedding_dedup": EMBEDDINGS, "op4_suffix_dedup": STRINGS, "op10_ngram_jaccard": SHINGLES}
+COUNTS = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+ p AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2), g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times FROM p),
+ m AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range(3) r(k) WHERE times > 1 GROUP BY doc_id),
+ c AS (SELECT w.doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN m ON m.doc_id = w.doc_id)
+ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c"""
+
+RULES = """WITH u AS (SELECT page_id, contains(url, '://') AS ok, substr(url, instr(url, '://') + 3) AS rest FROM pages),
+ p AS (SELECT page_id, CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+ r AS (SELECT *, '.' || host AS h, CASE WHEN h LIKE '%.example.com' AND path LIKE '/en/7%' THEN 'example.com/en/7' WHEN h LIKE '%.example.net' AND path LIKE '/de/8%' THEN 'example.net/de/8'
+  WHEN h LIKE '%.com' AND path LIKE '/en/%' THEN 'com/en/' WHEN h LIKE '%.net' AND path LIKE '/de/%' THEN 'net/de/' WHEN h LIKE '%.org' AND path LIKE '/es/%' THEN 'org/es/' END AS rule FROM p)
+ SELECT page_id, host, path, rule, CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM r"""
+
+ORACLE_SQL = {"quality_counts": COUNTS, "url_rules": RULES, "op3_embedding_dedup": EMBEDDINGS, "op4_suffix_dedup": STRINGS, "op10_ngram_jaccard": SHINGLES}

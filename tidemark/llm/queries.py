@@ -60,6 +60,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 counts, without the verdict that is beyond SQL."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 decides by its rules, without the model's verdicts."""
+    found = op7_url_filter(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_html_extract, op3_embedding_dedup, op4_suffix_dedup, op5_byte_bpe, op6_quality_rules, op7_url_filter, op8_token_counts, op9_packing, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_toxicity, op2_html_extract, op3_embedding_dedup, op4_suffix_dedup, op5_byte_bpe, op6_quality_rules, op7_url_filter, op8_token_counts, op9_packing, op10_ngram_jaccard, quality_counts, url_rules)
 }
