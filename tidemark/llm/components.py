@@ -73,13 +73,17 @@ def _settled(links: DataFrame) -> bool:
     return odd.isEmpty()
 
 
+def _labelled(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node and component (its smallest member) of every node of links (columns a and b of longs)."""
     now = checkpoint(contract(links).distinct())
     if now.count() <= FEW:
-        now, rounds = checkpoint(contract(now.coalesce(1))), 1
+        return _labelled(checkpoint(contract(now.coalesce(1))))
     for _ in range(rounds):
         if _settled(now):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+            return _labelled(now)
         now = checkpoint(_star(_star(now, True), False))
     raise RuntimeError("components have not settled")
