@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    if not (context.master or "").startswith("local["):
+    if context.master != "local" and not (context.master or "").startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
