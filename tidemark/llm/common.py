@@ -30,7 +30,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not (context.master or "").startswith("local["):
+        if not folder and context.master != "local" and not (context.master or "").startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not folder:
             import tempfile
