@@ -42,12 +42,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 400-byte strings that occur more than once among them; n_chars is counted anew.
+    """Documents without 400-byte strings and 50-word passages that occur more than once among them; n_chars is counted anew.
 
-    Null texts stay null and texts under 400 bytes as they are; repeated rows lose what they share, which may be all. A
-    character that loses some of its bytes goes.
+    Null texts stay null and texts under 400 bytes and 50 words as they are; repeated rows lose what they share, which may be all. A
+    character that loses some of its bytes goes. Passages are equal if their words are, whatever white space is between them.
     """
-    kept = suffix_dedup.without_repeats(docs)
+    kept = suffix_dedup.without_repeats(docs, words=True)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

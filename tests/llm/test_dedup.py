@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from tidemark.llm import anchors, common, components, embedding_dedup, ngram_join, shingles, suffix_dedup
 from tidemark.llm.suffix_array import suffix_array
 
@@ -90,6 +91,37 @@ def test_texts_without_repeats_keep_their_columns(spark):
     assert suffix_dedup.without_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("largest", [2000, 2])
+def test_repeated_passages_of_words_go(spark, rng, monkeypatch, largest):
+    monkeypatch.setattr(suffix_dedup, "LARGEST", largest)
+    n = suffix_dedup.WORDS
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(3, 6)))
+    some = lambda k: [word() for _ in range(k)]
+    shared = some(n + 5)
+    assert n == 50 and len(" ".join(shared).encode()) < suffix_dedup.LENGTH
+    lists = [some(k) + shared + some(30) for k in (0, 7, 60)] + [some(9) + shared[: n - 1] + some(9), some(20) + shared[2 : n + 2], some(300), ["z"] * (n - 1), ["y"] * (n + 1)]
+    lists += [some(rng.randint(0, 40)) + shared[k % 6 : k % 6 + n] + some(5) for k in range(8)]
+    texts = [None, "", *("".join(w + rng.choice([" ", "\n", " \t"]) for w in words) for words in lists), "\n".join(some(10) + lists[5] + some(4))]
+    counts = Counter(tuple(w[i : i + n]) for w in ((t or "").split() for t in texts) for i in range(len(w) - n + 1))
+    kept = []
+    for t in texts:
+        w = (t or "").split()
+        gone = {i + k for i in range(len(w) - n + 1) if counts[tuple(w[i : i + n])] > 1 for k in range(n)}
+        kept.append([x for i, x in enumerate(w) if i not in gone])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = dict(map(tuple, suffix_dedup.without_repeats(df, words=True).collect()))
+    assert found[0] is None and [(found[k] or "").split() for k in range(len(texts))] == kept
+    assert suffix_dedup.without_repeats(df.limit(0), words=True).count() == 0
+
+
+def test_pipeline_drops_passages_of_words_below_the_bytes(spark, data, rng):
+    passage = " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(52))
+    df = spark.createDataFrame([(k, f"{rng.random()} {passage} {rng.random()}", "en", "s", 0) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(passage) < suffix_dedup.LENGTH
+    rows = corpus_pipeline.drop_repeated_passages(spark, df, data).collect()
+    assert len(rows) == 3 and all(passage not in r["text"] and r["n_chars"] == len(r["text"]) for r in rows)
+
+
 def plain_set(text, width):
     words = "".join(c.lower() if c.isascii() else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
