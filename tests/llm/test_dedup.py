@@ -193,6 +193,14 @@ def test_rows_that_share_an_id_go_by_their_own_text(spark):
     assert kept in ([1, 2, x, y, 9, 10] for x in (4, 5) for y in (7, 8))
 
 
+def test_copies_are_dropped_without_bloom_filters(spark, documents, monkeypatch):
+    plans = []
+    monkeypatch.setattr(ngram_join, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or common.checkpoint(df))
+    kept = ngram_join.keep_one(documents)
+    plans.append(kept._jdf.queryExecution().optimizedPlan().toString())
+    assert not [p for p in plans if "might_contain" in p] and len(plans) > 10 and kept.count() < documents.count()
+
+
 def test_long_texts_are_hashed_in_pieces(monkeypatch, rng):
     texts = [" ".join(rng.choice("abcdef") * rng.randint(1, 5) for _ in range(n)).encode() for n in (0, 3, 400, 50)] + [b"x" * 90 + b" y"]
     whole = shingles.shingle_sets(texts, 3)

@@ -292,7 +292,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     share. Rows without an id take part after all others. Of rows with the same id and text one stays. Rows without words stay.
     """
     rows, of_class = _grouped(df, key, text, width, percent, True)
-    members = rows.filter(F.col("n") > 0).join(of_class, ["k1", "k2", "n"])
+    # Joined once, from the left and cut off: an inner join to what Spark can't size makes Bloom filters, MB each, in every task the driver sends.
+    members = checkpoint(rows.join(of_class, ["k1", "k2", "n"], "left").select("id", T1, T2, "lead")).filter(F.col("lead").isNotNull())
     leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col(T1) == F.col(f"lead.{T1}")) & (F.col(T2) == F.col(f"lead.{T2}"))
     identity = ("id", T1, T2)
     dropped = checkpoint(members.filter(~leads).select(*identity).distinct())
