@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
 from tidemark.operators import validate
+from tidemark.plans import packaging, packaging_sql
 from tidemark.sources import boxes, media
 
 VIDEO = media.VideoEntry("avc1", 1280, 720, bytes.fromhex("0142c01effe1000467420a1e01000468ce3c80"))
@@ -29,6 +32,43 @@ def test_init_segment_reads_back():
             media.aac(entry[8:cut])
 
 
+def test_small_files_share_a_batch():
+    """A batch for each file cost more than reading it; a large file still goes out at once."""
+    types = pa.schema([("k", pa.int64()), ("path", pa.string())])
+    read = lambda data: [(path,) for path, *_ in boxes.walk_all(data)]
+    given = lambda contents: iter([pa.record_batch([pa.array([k]), pa.array([c], pa.binary())], names=["k", "content"]) for k, c in enumerate(contents)])
+    contents = [None, b"", *[media.init_segment(90_000, VIDEO, AUDIO if k % 2 else None) for k in range(1000)]]
+    found = list(boxes.batches_of(given(contents), read, types))
+    assert len(found) < 20 and all(b.num_rows < boxes.BATCH_ROWS + 100 for b in found)
+    assert pa.Table.from_batches(found).to_pylist() == [{"k": k, "path": p} for k, c in enumerate(contents) for p, *_ in boxes.walk_all(c or b"")]
+    large = boxes.box("free", bytes(boxes.BATCH_BYTES))
+    assert [b.num_rows for b in boxes.batches_of(given([contents[2], large, contents[2], large]), read, types)] == [len(read(contents[2])) + 1] * 2
+
+
+def test_init_segments_are_dealt_to_tasks_and_made_once(spark, tmp_path):
+    parts = [(1, 5), (2, 6), (2, 7), (2, 7), (None, 8), *((k, k % 50 + 1) for k in range(10, 400))]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = packaging.init_segments(spark, str(tmp_path))
+    tasks = found.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(tasks) == 4 and max(t["count"] for t in tasks) < 2 * min(t["count"] for t in tasks)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    wanted = sql.execute(packaging_sql.ORACLE["init_segments"])
+    columns = [c[0] for c in wanted.description]
+    assert sorted(map(repr, map(tuple, found.select(columns).collect()))) == sorted(map(repr, wanted.fetchall()))
+
+
+def test_a_movie_is_made_and_read_once(spark, data):
+    """Its facts came from two readings and a join; rows of a track without video or audio still give an answer."""
+    info = packaging.QUERIES["movie_info"](spark, data)
+    assert info._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    rows = [("a", media.movie(10, VIDEO, [(8, 4, 5, True, 0)])), ("b", media.init_segment(10, VIDEO, AUDIO)), ("c", media.init_segment(10, VIDEO).replace(b"avcC", b"xxxx")), ("d", b"")]
+    tracks = media.movies(spark.createDataFrame(rows, "path string, content binary"), "path")
+    assert {(r["path"], r["role"]) for r in media.chosen(tracks, "path").collect()} == {("a", "video"), ("b", "video"), ("b", "audio")}
+    assert {r["path"]: (r["error"], r["has_audio"]) for r in media.inspected(tracks, "path").collect()} == {"a": (None, False), "b": ("no_samples", True), "c": ("no_video", False)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 16_383, 16_384, 2_097_152])
 def test_lengths(spark, n):
     written = media.write_length(n)

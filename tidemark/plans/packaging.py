@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import __version__
 from tidemark.functions import names
 from tidemark.operators import index, jobs, ladder, manifest, segment, timeline, validate
-from tidemark.session import shared_folder, table
+from tidemark.session import shared_folder, spread, table
 from tidemark.sources import adapters, boxes, media, sinks, views
 from tidemark.streaming.control import pulled, run_through
 from tidemark.streaming.segmenter import stream_segments
@@ -65,17 +65,15 @@ def time_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def init_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Init segments of every source, half of them with audio, read back."""
-    sources = views.media_sources(spark, sf_dir).withColumn("sound", F.col("source") % 2 == 0)
+    sources = spread(views.media_sources(spark, sf_dir).withColumn("sound", F.col("source") % 2 == 0))
 
     def pack(width: int, height: int, sound: bool) -> bytes:
         return media.init_segment(90_000, media.VideoEntry("avc1", width, height, VIDEO_CONFIG), AUDIO if sound else None)
 
     files = _packed(sources, "source", ["width", "height", "sound"], pack)
-    tracks = media.chosen(media.movies(files, "source"), "source")
-    defaults = boxes.rows_of(files, "source", "content", "track_id long, n_bytes long, fragmented boolean", lambda d: [(t, len(d), media.is_fragmented(d, 0)) for t, *_ in media.track_defaults(d)])
+    tracks = media.chosen(media.inits(files, "source"), "source").filter("has_defaults")
     codec = F.when(F.col("role") == "video", names.codec_string(F.col("codec"))).otherwise(names.aac_codec(F.col("audio_config")))
-    said = tracks.select("source", "track_id", "role", "timescale", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("width", "height", "sample_rate", "channels")), codec.alias("codec"), F.size("sizes").cast("long").alias("samples"))
-    return said.join(defaults, ["source", "track_id"])
+    return tracks.select("source", "track_id", "role", "timescale", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("width", "height", "sample_rate", "channels")), codec.alias("codec"), F.size("sizes").cast("long").alias("samples"), "n_bytes", "fragmented")
 
 
 def _movie_files(spark: SparkSession, sf_dir: str) -> DataFrame:

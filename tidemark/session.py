@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to as many tasks as a shuffle has, one for each core at least: a small file is one task or a few, however long Python takes over each of its rows."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that all executors share: that of spark.checkpoint.dir; a temporary one serves a local master only."""
     context = spark.sparkContext
